@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
+    ("sentencepiece_codec", "op10_sentencepiece"),
 ]
 
 
