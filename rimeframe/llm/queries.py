@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
+    ("line_quality", "op5_line_quality"),
     ("sentencepiece_codec", "op10_sentencepiece"),
 ]
 
@@ -17,6 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup
+    from . import exact_dedup, line_quality
 
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_line_quality": line_quality.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
