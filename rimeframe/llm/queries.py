@@ -9,6 +9,7 @@ _QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
     ("line_quality", "op5_line_quality"),
+    ("simhash", "op7_simhash"),
     ("sentencepiece_codec", "op10_sentencepiece"),
 ]
 
