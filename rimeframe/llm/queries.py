@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
+    ("license_scan", "op4_license_scan"),
     ("line_quality", "op5_line_quality"),
     ("simhash", "op7_simhash"),
     ("sentencepiece_codec", "op10_sentencepiece"),
@@ -19,6 +20,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, line_quality
+    from . import exact_dedup, license_scan, line_quality
 
-    return {"op5_line_quality": line_quality.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_license_scan": license_scan.ORACLE, "op5_line_quality": line_quality.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
