@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
+    ("mixing", "op3_mixing"),
     ("license_scan", "op4_license_scan"),
     ("line_quality", "op5_line_quality"),
     ("simhash", "op7_simhash"),
