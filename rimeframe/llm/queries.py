@@ -6,6 +6,7 @@ import importlib
 
 #: module, query
 _QUERIES = [
+    ("substring_dedup", "op1_substring_dedup"),
     ("exact_dedup", "op9_exact_dedup"),
     ("sharding", "op2_sharding"),
     ("mixing", "op3_mixing"),
