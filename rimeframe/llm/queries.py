@@ -8,6 +8,7 @@ import importlib
 _QUERIES = [
     ("substring_dedup", "op1_substring_dedup"),
     ("exact_dedup", "op9_exact_dedup"),
+    ("suffix_dedup", "op8_suffix_dedup"),
     ("sharding", "op2_sharding"),
     ("mixing", "op3_mixing"),
     ("license_scan", "op4_license_scan"),
