@@ -13,6 +13,7 @@ _QUERIES = [
     ("mixing", "op3_mixing"),
     ("license_scan", "op4_license_scan"),
     ("line_quality", "op5_line_quality"),
+    ("quality_classifier", "op6_quality_classifier"),
     ("simhash", "op7_simhash"),
     ("sentencepiece_codec", "op10_sentencepiece"),
 ]
