@@ -162,25 +162,31 @@ def _probe(part: int, key: Column):
     return lambda flip: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flip).alias("key"))
 
 
-def links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, parted: bool = False) -> DataFrame:
-    """``a, b`` (fingerprints, a < b) of nodes that differ in at most tau bits; with ``parted`` only between two classes.
+def links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, similarity: float | None = None) -> DataFrame:
+    """``a, b`` (ids, a < b) of nodes whose fingerprints differ in at most tau bits.
 
-    ``nodes`` has distinct ``fp`` and, with ``parted``, ``class``.
+    ``nodes`` has distinct ``id`` and ``fp``.  With ``similarity`` also ``class`` and ``size``: only pairs of two classes whose
+    sizes allow that similarity.
     """
-    extra = ["class"] if parted else []
+    extra = ["class", "size"] if similarity else []
     filed, probing = [], []
     for i, (bits, t) in enumerate(parts):
         mask = sum(1 << b for b in bits)
         flips = [_signed(sum(1 << b for b in c)) for r in range(t + 1) for c in combinations(bits, r)]
         key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         filed.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
-        values = F.array(*[F.lit(x) for x in flips])
-        probing.append(F.transform(values, _probe(i, key)))
-    left = nodes.select(F.col("fp").alias("a"), *[F.col(c).alias("a_class") for c in extra], F.explode(F.flatten(F.array(*probing))).alias("k")).select("a", *["a_class"] * parted, "k.part", "k.key")
-    right = nodes.select(F.col("fp").alias("b"), *[F.col(c).alias("b_class") for c in extra], F.explode(F.array(*filed)).alias("k")).select("b", *["b_class"] * parted, "k.part", "k.key")
-    near = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a"] < right["b"]) & (F.bit_count(left["a"].bitwiseXOR(right["b"])) <= tau)
-    if parted:
-        near = near & (left["a_class"] != right["b_class"])
+        probing.append(F.transform(F.array(*[F.lit(x) for x in flips]), _probe(i, key)))
+
+    def side(name: str, keys: Column) -> DataFrame:
+        columns = [F.col("id").alias(name), F.col("fp").alias(f"{name}_fp"), *[F.col(c).alias(f"{name}_{c}") for c in extra]]
+        return nodes.select(*columns, F.explode(keys).alias("k")).select("*", "k.part", "k.key").drop("k")
+
+    left, right = side("a", F.flatten(F.array(*probing))), side("b", F.array(*filed))
+    near = (left["part"] == right["part"]) & (left["key"] == right["key"]) & (left["a"] < right["b"])
+    if similarity:
+        low, high = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+        near = near & (left["a_class"] != right["b_class"]) & (low >= similarity * high)
+    near = near & (F.bit_count(left["a_fp"].bitwiseXOR(right["b_fp"])) <= tau)
     return left.join(right, near).select("a", "b").distinct()
 
 
@@ -191,7 +197,7 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
     nodes = store.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     n, both = bit_counts(nodes)
     if n:
-        near = store.keep(links(nodes, plan_parts(n, both, tau), tau), "links")
+        near = store.keep(links(nodes.select(F.col("fp").alias("id"), "fp"), plan_parts(n, both, tau), tau), "links")
         ends = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("u"))
         edges = near.join(ends, "a").select("u", "b").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v").dropna()
         roots = components(store, edges)
@@ -201,6 +207,81 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
     return store.done(prints.join(final, "fp").select("doc_id", "fp", "component_id"))
 
 
+#: Bits at which candidates are sought, one level after the other.
+LEVELS = (3, 6, 9)
+
+
+def _sketches(shingle: int, words: int):
+    def run(batches):
+        import xxhash
+
+        for part in slices(batches):
+            fp, sig, size = [], [], []
+            for t in part.column("text").to_pylist():
+                own = np.unique(shingle_hashes(t, words))
+                fp.append(fingerprint(shingle_hashes(t, shingle)))
+                sig.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                size.append(len(own))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "fp", "sig", "size"]
+            )
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches):
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, root`` for every row of ``docs``: groups of documents linked by a Jaccard similarity of their sets of
+    ``words``-word shingles of at least ``similarity``; root is the group's smallest doc_id.
+
+    Candidates are fingerprints within LEVELS[-1] bits.  The closest are sought and verified first; documents that are in one
+    group already are not compared again, so that a large group costs links, not pairs.  Equal sets are one node.
+    """
+    prints = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, words), "doc_id long, fp long, sig long, size long"), "sketches")
+    nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "sets")
+    known = nodes.where("id IS NOT NULL")
+    n, both = bit_counts(known)
+    groups = known.select("id", F.col("id").alias("class"))
+    edges = None
+    for level, tau in enumerate((0, *LEVELS) if n else ()):
+        now = known.join(groups, "id")
+        if not tau:  # equal fingerprints: each against the first
+            first = known.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
+            pairs = known.join(store.keep(first, "first"), "fp").where("a < id").select("a", F.col("id").alias("b"))
+        else:
+            pairs = links(now, plan_parts(n, both, tau), tau, similarity)
+        pairs = store.keep(pairs, f"pairs{level}")
+        ends = store.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ends{level}")
+        sets = docs.select("doc_id", "text").join(ends, "doc_id").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"])
+        sets = store.keep(sets, f"shingles{level}")
+        held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        held = held.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        held = store.keep(held, f"held{level}")
+        store.drop(f"pairs{level}", f"ends{level}", f"shingles{level}")
+        edges = held if edges is None else edges.unionByName(held)
+        roots = components(store, edges, f"cc{level}_")
+        groups = known.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class"))
+        groups = store.keep(groups, f"groups{level}")
+    final = nodes.join(groups, "id", "left").select("sig", "size", F.col("class").alias("root"))
+    return store.done(prints.join(final, ["sig", "size"]).select("doc_id", "root"), "near_groups")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of ``near_groups``; all columns as they were."""
+    groups = near_groups(docs, Store(docs.sparkSession, "near-copies"))
+    kept = groups.where("doc_id <=> root").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_near(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
