@@ -48,12 +48,19 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of a text whose A-Z are no
 _PHRASES = "(?i)(?<!W)(?:".replace("W", _WORD) + "|".join(p.replace(" ", f"{_GAP}+") for p in BASE) + f")(?!{_WORD})"
 
 
+def _pieces(text: Column) -> Column:
+    """What stands between the gaps: the words, with an empty piece where the text begins or ends with a gap."""
+    return F.split(text, f"{_GAP}+", -1)
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"{_WORD}+"), F.lit(0))
+    return F.array_remove(_pieces(text), "")
 
 
-def _count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{_WORD}+"))
+def _count(pieces: Column) -> Column:
+    """The number of words among pieces."""
+    outer = (F.element_at(pieces, 1) == "").cast("int") + (F.element_at(pieces, -1) == "").cast("int")
+    return F.size(pieces) - F.least(outer, F.size(pieces))
 
 
 def template_sets(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, list[str], int]]:
@@ -88,7 +95,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
 
     read = (
         docs.select("doc_id", text.alias("text"))
-        .select("doc_id", "text", _count(F.col("text")).cast("long").alias("n_words"), F.array_intersect(_words(F.lower("text")), _tokens(vocabulary)).alias("tokens"))
+        .withColumn("pieces", _pieces(F.lower("text")))
+        .select("doc_id", "text", _count(F.col("pieces")).cast("long").alias("n_words"), F.array_intersect("pieces", _tokens(vocabulary)).alias("tokens"))
         .withColumn("found", F.when(F.array_contains("tokens", "license") | F.array_contains("tokens", "cc") if {"license", "cc"} <= set(vocabulary) else F.lit(True), found).otherwise(F.array().cast("array<string>")))
     )
     likely = F.lit(False)
@@ -98,8 +106,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
         read.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "tokens",
             F.size("found").cast("long").alias("n_base"),
-            F.when(some, _count(F.element_at(pieces, 1))).cast("long").alias("first_word"),
-            F.when(some, F.col("n_words") - _count(F.element_at(pieces, -1)) - _count(F.element_at("found", -1))).cast("long").alias("last_word"),
+            F.when(some, _count(_pieces(F.element_at(pieces, 1)))).cast("long").alias("first_word"),
+            F.when(some, F.col("n_words") - _count(_pieces(F.element_at(pieces, -1))) - _count(_pieces(F.element_at("found", -1)))).cast("long").alias("last_word"),
             F.array_distinct(F.transform("found", named)).alias("base"),
             F.when(likely, F.col("text")).alias("text"),
         ),
