@@ -144,7 +144,7 @@ def _models(spark, sf):
 def _tracked(spark, sf, method="systematic"):
     models = _models(spark, sf)
     frames = K.patches(models, image_rows(spark), 45).join(models.select("track", "kind", "seed", "params"), "track")
-    return K.track(frames, _pixels, particles=400, tile=15, method=method)
+    return K.track(frames, _pixels, particles=400, tile=15, sigma=0.1, method=method)
 
 
 @query()
