@@ -54,10 +54,9 @@ def match_distribution(rows: DataFrame, value: str, source: DataFrame, target: D
     """
     ask = source.select("part", "q", F.col(value).alias("v"), F.lit(1).alias("side"), F.lit(None).cast("struct<q:double,v:double>").alias("t"))
     steps = target.select("part", "q", F.lit(None).cast("double").alias("v"), F.lit(0).alias("side"), F.struct(F.col("q"), F.col(value).alias("v")).alias("t"))
-    w = Window.partitionBy("part").orderBy("q", "side")
-    both = ask.unionByName(steps).withColumns(
-        {"low": F.last("t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "high": F.first("t", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
-    )
+    upto = Window.partitionBy("part").orderBy("q", "side").rowsBetween(Window.unboundedPreceding, 0)
+    back_to = Window.partitionBy("part").orderBy(F.desc("q"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    both = ask.unionByName(steps).withColumns({"low": F.last("t", True).over(upto), "high": F.last("t", True).over(back_to)})
     share = (F.col("q") - F.col("low.q")) / (F.col("high.q") - F.col("low.q"))
     out = F.when(F.col("low").isNull(), F.col("high.v")).when(F.col("high").isNull(), F.col("low.v")).otherwise(F.col("low.v") + share * (F.col("high.v") - F.col("low.v")))
     return both.where("side = 1").select("part", F.col("v").alias(value), out.alias("matched"))
@@ -105,8 +104,8 @@ def resample_at(particles: DataFrame, draws: DataFrame, keys: list[str], ident:
     share = F.sum(weight).over(w.orderBy(ident).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
     ends = particles.select(*keys, share.alias("_p"), F.lit(1).alias("_side"), F.col(ident).alias("_id"), F.lit(None).cast("long").alias("draw"))
     asks = draws.select(*keys, F.col("position").alias("_p"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_id"), F.col("draw").cast("long").alias("draw"))
-    order = w.orderBy("_p", "_side", "_id").rowsBetween(0, Window.unboundedFollowing)
-    return ends.unionByName(asks).withColumn(ident, F.first("_id", True).over(order)).where("_side = 0").select(*keys, "draw", ident)
+    order = w.orderBy(F.desc("_p"), F.desc("_side"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    return ends.unionByName(asks).withColumn(ident, F.last("_id", True).over(order)).where("_side = 0").select(*keys, "draw", ident)
 
 
 def resample_residual(particles: DataFrame, keys: list[str], ident: str, weight: str) -> tuple[DataFrame, DataFrame]:

@@ -25,13 +25,10 @@ def nearest(targets: DataFrame, observed: DataFrame, key: str, ident: str, toler
     seconds; equal distances go to the earlier one.  Columns ident and gap (microseconds) are NULL where there is none."""
     left = targets.select(key, F.col("target").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<us:bigint,id:bigint>").alias("o"))
     right = observed.select(key, F.col("us").alias("at"), F.lit(0).alias("side"), F.struct(F.col("us"), F.col(ident).cast("bigint").alias("id")).alias("o"))
-    w = Window.partitionBy(key).orderBy("at", "side")
-    seen = left.unionByName(right).withColumns(
-        {
-            "before": F.last("o", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "after": F.first("o", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
+    # Both directions are frames that grow from the start of an order: one that shrinks is worked out anew for every row.
+    upto = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    back_to = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = left.unionByName(right).withColumns({"before": F.last("o", ignorenulls=True).over(upto), "after": F.last("o", ignorenulls=True).over(back_to)})
     back, ahead = F.col("at") - F.col("before.us"), F.col("after.us") - F.col("at")
     take_back = F.coalesce(back, F.lit(1 << 62)) <= F.coalesce(ahead, F.lit(1 << 62))
     best, gap = F.when(take_back, F.col("before")).otherwise(F.col("after")), F.when(take_back, back).otherwise(ahead)

@@ -70,8 +70,9 @@ def interp_nearest(spark, sf):
     """The rasters before and after each instant."""
     left = _targets(spark, sf).select("user_id", F.col("target").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("us"))
     right = events(spark, sf).select("user_id", F.col("us").alias("at"), F.lit(0).alias("side"), "us")
-    w = Window.partitionBy("user_id").orderBy("at")
-    both = left.unionByName(right).withColumns({"before": F.last("us", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first("us", True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    upto = Window.partitionBy("user_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    back_to = Window.partitionBy("user_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumns({"before": F.last("us", True).over(upto), "after": F.last("us", True).over(back_to)})
     return both.where("side = 1").select("user_id", F.col("at").alias("target"), "before", "after")
 
 
