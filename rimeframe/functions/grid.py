@@ -19,8 +19,24 @@ def grid(prefix: str = "") -> dict[str, Column]:
     return {n: F.col(prefix + n) for n in GRID}
 
 
-def of(nx: int, ny: int, xlim: tuple[float, float], ylim: tuple[float, float]) -> dict[str, Column]:
-    return dict(zip(GRID, map(F.lit, (nx, ny, float(xlim[0]), float(xlim[1]), float(ylim[0]), float(ylim[1])))))
+class Fixed(Mapping):
+    """A grid of known numbers; Columns are made when they are asked for, so it can be built before a session is."""
+
+    def __init__(self, *numbers: float):
+        self.numbers = dict(zip(GRID, numbers))
+
+    def __getitem__(self, name: str) -> Column:
+        return F.lit(self.numbers[name])
+
+    def __iter__(self):
+        return iter(self.numbers)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+
+def of(nx: int, ny: int, xlim: tuple[float, float], ylim: tuple[float, float]) -> Fixed:
+    return Fixed(nx, ny, float(xlim[0]), float(xlim[1]), float(ylim[0]), float(ylim[1]))
 
 
 def cell(g: Grid) -> tuple[Column, Column]:

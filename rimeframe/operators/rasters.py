@@ -67,10 +67,14 @@ def hillshade(cells: DataFrame, dx: float, dy: float, azimuth: float = 315.0, al
 
 
 def maximum_filter(cells: DataFrame, radius: int, raster: str = "raster_id") -> DataFrame:
-    """Greatest value in a square window, along rows and then along columns."""
-    by_row = Window.partitionBy(raster, "row").orderBy("col").rangeBetween(-radius, radius)
-    by_col = Window.partitionBy(raster, "col").orderBy("row").rangeBetween(-radius, radius)
-    return cells.withColumn("z", F.max("z").over(by_row)).withColumn("z", F.max("z").over(by_col))
+    """Greatest value in a square window, along rows and then along columns; cells need not be complete."""
+
+    def along(df: DataFrame, axis: str, other: str) -> DataFrame:
+        reach = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+        return df.withColumn("_k", reach).groupBy(raster, other, (F.col(axis) + F.col("_k")).alias(axis)).agg(F.max("z").alias("z"))
+
+    wide = along(along(cells.select(raster, "row", "col", "z"), "col", "row"), "row", "col")
+    return cells.drop("z").join(wide, [raster, "row", "col"])
 
 
 def _spread(cells: DataFrame, axis: str, n: int, weights: list[float], raster: str) -> DataFrame:

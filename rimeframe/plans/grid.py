@@ -37,17 +37,18 @@ def _pair(spark, sf, pair, names, digits=6):
     return points(spark, sf).select("ok", "ln", *[r6(c.cast("double"), digits).alias(n) for c, n in zip(pair, names)])
 
 
-X, Y = F.col("x"), F.col("y")
+def _xy():
+    return F.col("x"), F.col("y")
 
 
 @query(f"WITH {P} SELECT ok, ln, {sql6(U)} AS u, {sql6(V)} AS v FROM p")
 def grid_xyz_to_uv(spark, sf):
-    return _pair(spark, sf, R.to_uv(GRID, X, Y), ("u", "v"))
+    return _pair(spark, sf, R.to_uv(GRID, *_xy()), ("u", "v"))
 
 
 @query(f"WITH {P} SELECT ok, ln, {sql6('x')} AS x, {sql6('y')} AS y FROM p")
 def grid_uv_to_xyz(spark, sf):
-    u, v = R.to_uv(GRID, X, Y)
+    u, v = R.to_uv(GRID, *_xy())
     return _pair(spark, sf, R.from_uv(GRID, u, v), ("x", "y"))
 
 
@@ -59,8 +60,8 @@ def grid_rowcol_to_xy(spark, sf):
 
 @query(f"WITH {P} SELECT ok, ln, {sql6(f'{V} - 0.5')} AS row, {sql6(f'{U} - 0.5')} AS col, least(floor({V}), 9)::BIGINT AS r, least(floor({U}), 20)::BIGINT AS c FROM p")
 def grid_xy_to_rowcol(spark, sf):
-    row, col = R.rowcol(GRID, X, Y)
-    r, c = R.rowcol(GRID, X, Y, snap=True)
+    row, col = R.rowcol(GRID, *_xy())
+    r, c = R.rowcol(GRID, *_xy(), snap=True)
     return points(spark, sf).select("ok", "ln", r6(row).alias("row"), r6(col).alias("col"), r.alias("r"), c.alias("c"))
 
 
@@ -75,8 +76,8 @@ def grid_idx(spark, sf):
     f"WITH {P} SELECT ok, ln, -50 + (least(floor({U}), 20) + 0.5::DOUBLE) * 5 AS cx, 25 - (least(floor({V}), 9) + 0.5::DOUBLE) * 5 AS cy, -50 + floor({U} + 0.5) * 5 AS ex, 25 - floor({V} + 0.5) * 5 + 0.0 AS ey FROM p"
 )
 def grid_snap_xy(spark, sf):
-    cx, cy = R.snapped(GRID, X, Y)
-    ex, ey = R.snapped(GRID, X, Y, edges=True)
+    cx, cy = R.snapped(GRID, *_xy())
+    ex, ey = R.snapped(GRID, *_xy(), edges=True)
     return points(spark, sf).select("ok", "ln", cx.alias("cx"), cy.alias("cy"), ex.alias("ex"), (ey + 0.0).alias("ey"))
 
 
@@ -86,13 +87,13 @@ SELECT ok, ln, CASE WHEN ok_ THEN l::BIGINT END AS "left", CASE WHEN ok_ THEN t:
 FROM (SELECT *, l >= 0 AND t >= 0 AND l + 3 <= 21 AND t + 3 <= 10 AS ok_ FROM b)"""
 )
 def grid_snap_box(spark, sf):
-    box = R.snap_box(GRID, X, Y, F.lit(3.0), F.lit(3.0))
+    box = R.snap_box(GRID, *_xy(), F.lit(3.0), F.lit(3.0))
     return points(spark, sf).select("ok", "ln", *[c.cast("long").alias(n) for n, c in box.items()])
 
 
 @query(f"WITH {P} SELECT ok, ln, x * 2 BETWEEN -50 AND 55 AND y * 2 BETWEEN -25 AND 25 AS inside FROM p")
 def grid_inbounds(spark, sf):
-    return points(spark, sf).select("ok", "ln", R.inbounds(GRID, X * 2, Y * 2).alias("inside"))
+    return points(spark, sf).select("ok", "ln", R.inbounds(GRID, *(c * 2 for c in _xy())).alias("inside"))
 
 
 _GRIDS = "g AS (SELECT n_nationkey AS grid_id, 10 + n_nationkey AS nx, 8 + n_regionkey AS ny, n_nationkey * 10.0::DOUBLE AS x0, n_nationkey * 10.0::DOUBLE + 50 AS x1, 40.0::DOUBLE + n_regionkey AS y0, 0.0::DOUBLE AS y1 FROM nation)"
@@ -132,12 +133,13 @@ def grid_crop_extent(spark, sf):
     return grids(spark, sf).select("grid_id", *[c[n].alias(n) for n in ("row0", "row1", "col0", "col1")])
 
 
-_BOX = [(F.lit(-10.0), F.lit(20.0)), (F.lit(-5.0), F.lit(12.0))]
+def _box():
+    return [(F.lit(-10.0), F.lit(20.0)), (F.lit(-5.0), F.lit(12.0))]
 
 
 @query(f"WITH {P} SELECT ok, ln, x BETWEEN -10 AND 20 AND y BETWEEN -5 AND 12 AS inside FROM p")
 def box_in(spark, sf):
-    return points(spark, sf).select("ok", "ln", G.in_box([X, Y], _BOX).alias("inside"))
+    return points(spark, sf).select("ok", "ln", G.in_box([*_xy()], _box()).alias("inside"))
 
 
 @query(f"WITH {_GRIDS}, b AS (SELECT n_regionkey AS r, max(x0) AS x0, min(x1) AS x1, max(y1) AS y0, min(y0) AS y1 FROM g JOIN nation ON n_nationkey = grid_id GROUP BY 1) SELECT r, x0, x1, y0, y1, x0 < x1 AND y0 < y1 AS ok FROM b")
@@ -195,18 +197,19 @@ _SLAB = f"""{_RAYS}, s AS (SELECT *, CASE WHEN dx <> 0 THEN least((-10 - ox) / d
   CASE WHEN dy <> 0 THEN least((-5 - oy) / dy, (12 - oy) / dy) ELSE '-inf'::DOUBLE END AS n2, CASE WHEN dy <> 0 THEN greatest((-5 - oy) / dy, (12 - oy) / dy) ELSE 'inf'::DOUBLE END AS f2,
   (dx <> 0 OR ox BETWEEN -10 AND 20) AND (dy <> 0 OR oy BETWEEN -5 AND 12) AS ok FROM rays),
 h AS (SELECT k, CASE WHEN ok AND greatest(n1, n2) <= least(f1, f2) AND least(f1, f2) >= 0 THEN greatest(n1, n2) END AS t0, CASE WHEN ok AND greatest(n1, n2) <= least(f1, f2) AND least(f1, f2) >= 0 THEN least(f1, f2) END AS t1 FROM s)"""
-_O, _D = [F.col("ox"), F.col("oy")], [F.col("dx"), F.col("dy")]
+def _ray():
+    return [F.col("ox"), F.col("oy")], [F.col("dx"), F.col("dy")]
 
 
 @query(f"WITH {_SLAB} SELECT k, {sql6('t0')} AS t0, {sql6('t1')} AS t1 FROM h WHERE t0 IS NOT NULL AND t0 > '-inf'::DOUBLE")
 def ray_box(spark, sf):
-    t0, t1 = G.ray_box(_O, _D, _BOX)
+    t0, t1 = G.ray_box(*_ray(), _box())
     return rays(spark, sf).select("k", t0.alias("t0"), t1.alias("t1")).where(F.col("t0").isNotNull() & (F.col("t0") > float("-inf"))).select("k", r6(F.col("t0")).alias("t0"), r6(F.col("t1")).alias("t1"))
 
 
 @query(f"WITH {_SLAB} SELECT k, {sql6('CASE WHEN t0 > 0 AND t0 < 1 THEN t0 WHEN t1 > 0 AND t1 < 1 THEN t1 END')} AS t FROM h")
 def edge_box(spark, sf):
-    t = G.edge_box(_O, [o + d for o, d in zip(_O, _D)], _BOX)
+    t = G.edge_box(_ray()[0], [o + d for o, d in zip(*_ray())], _box())
     return rays(spark, sf).select("k", r6(t).alias("t"))
 
 
@@ -231,7 +234,7 @@ def rays_plane(spark, sf):
     """Many rays and the plane x + 2 y = 8."""
     zero = F.lit(0.0)
     plane = [[F.lit(8.0), zero, zero], [zero, F.lit(4.0), zero], [F.lit(8.0), zero, F.lit(1.0)]]
-    hit = G.ray_plane([*_O, zero], [*_D, zero], plane)
+    hit = G.ray_plane([*_ray()[0], zero], [*_ray()[1], zero], plane)
     return rays(spark, sf).select("k", r6(hit[0], 4).alias("x"), r6(hit[1], 4).alias("y"))
 
 

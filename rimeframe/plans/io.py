@@ -33,13 +33,15 @@ def _files(spark, sf, template: str, name: str = "p_partkey"):
     return table(spark, sf, "part").select(F.col(name).cast("string").alias("path"), F.concat(*pieces).alias("content"))
 
 
-_KEY, _FILE = (F.col(c).cast("long").alias("pk") for c in ("path", "file"))
+def _key(column: str = "path"):
+    return F.col(column).cast("long").alias("pk")
+
 
 
 @query("SELECT p_partkey AS pk, 4288 AS width, 2848 AS height, p_retailprice AS f, p_size::DOUBLE AS cx, -0.5::DOUBLE AS cy, 0.0::DOUBLE AS b1, -0.012::DOUBLE AS b2, p_size::DOUBLE AS k1, 0.0::DOUBLE AS k4 FROM part")
 def scan_agisoft_xml(spark, sf):
     f = _files(spark, sf, "<calibration><projection>frame</projection><width>4288</width><height>2848</height><f>{a}</f><cx>{b}</cx><cy>-5e-1</cy><b2>-.012</b2><k1>{b}</k1></calibration>")
-    return P.agisoft_xml(f).select(_KEY, "width", "height", "f", "cx", "cy", "b1", "b2", "k1", "k4")
+    return P.agisoft_xml(f).select(_key(), "width", "height", "f", "cx", "cy", "b1", "b2", "k1", "k4")
 
 
 @query("SELECT p_partkey AS pk, p_retailprice AS fx, p_retailprice + 0.0 AS fy, p_size::DOUBLE AS cx, 1420.5::DOUBLE AS cy, p_size::DOUBLE AS k1, -0.25::DOUBLE AS k2, 0.001::DOUBLE AS p1, 0.0::DOUBLE AS k3, 0.0::DOUBLE AS s4 FROM part")
@@ -47,7 +49,7 @@ def scan_opencv_xml(spark, sf):
     f = _files(
         spark, sf, "<opencv_storage><camera_matrix type_id='m'><rows>3</rows><data>{a} 0. {b} 0. {a} 1420.5 0. 0. 1.</data></camera_matrix><distortion_coefficients><data>\n{b} -2.5e-01 1e-3 -.002</data></distortion_coefficients></opencv_storage>"
     )
-    return P.opencv_xml(f).select(_KEY, "fx", "fy", "cx", "cy", "k1", "k2", "p1", "k3", "s4")
+    return P.opencv_xml(f).select(_key(), "fx", "fy", "cx", "cy", "k1", "k2", "p1", "k3", "s4")
 
 
 @query("SELECT p_partkey AS pk, 4288 AS width, 2848 AS height, p_retailprice AS fx, 3610.25::DOUBLE AS fy, p_size::DOUBLE AS cx, 0.0003::DOUBLE AS alpha, -0.1::DOUBLE AS k1, 0.0::DOUBLE AS k3, " + sql6("p_size / 3.0::DOUBLE") + " AS fx_sigma FROM part")
@@ -55,7 +57,7 @@ def scan_matlab_report(spark, sf):
     f = _files(
         spark, sf, "% Focal length:\nfc = [ {a} ; 3610.25 ];\n\ncc = [ {b} ; 1420.5 ];\nalpha_c = 3e-4;\nkc = [ -0.1 ; 0.05 ; 0.001 ; -0.0005 ; 0.0 ];\nfc_error = [ {b} ; 1.5 ];\ncc_error = [ 1 ; 2 ];\nalpha_c_error = 0.0;\nkc_error = [ 0.1 ; 0.1 ; 0.1 ; 0.1 ; 0 ];\nnx = 4288;\nny = 2848;\n"
     )
-    return P.matlab_report(f).select(_KEY, "width", "height", "fx", "fy", "cx", "alpha", "k1", "k3", r6(F.col("fx_sigma")).alias("fx_sigma"))
+    return P.matlab_report(f).select(_key(), "width", "height", "fx", "fy", "cx", "alpha", "k1", "k3", r6(F.col("fx_sigma")).alias("fx_sigma"))
 
 
 @query("SELECT p_partkey AS pk, p_retailprice AS focal, 0.25::DOUBLE AS focal_sigma, p_size::DOUBLE AS xp, -0.0001::DOUBLE AS k1, 0.0::DOUBLE AS k2 FROM part")
@@ -63,13 +65,13 @@ def scan_photomodeler_report(spark, sf):
     f = _files(
         spark, sf, "Camera Calibration\n  Focal Length\n    Value: {a} mm\n    Deviation: Focal: 0.25 mm\n  Xp - principal point x\n    Value: {b} mm\n  Yp - principal point y\n    Value: 7.8 mm\n  K1 - radial distortion 1\n    Value: -1.0e-004\n    Deviation: K1: 2.0e-6\n"
     )
-    return P.photomodeler_report(f).select(_KEY, "focal", "focal_sigma", "xp", "k1", "k2")
+    return P.photomodeler_report(f).select(_key(), "focal", "focal_sigma", "xp", "k1", "k2")
 
 
 @query("SELECT p_partkey AS pk, p_retailprice AS x, 0.0::DOUBLE AS yaw, 100.0::DOUBLE AS nx, p_size::DOUBLE AS f, -0.5::DOUBLE AS k1, 0.0::DOUBLE AS k2, 0.13::DOUBLE AS refraction FROM part")
 def scan_camera_json(spark, sf):
     f = _files(spark, sf, '{"xyz": [{a}, 2, 3], "viewdir": null, "f": [{b}], "k": [-0.5, null], "correction": {"radius": 6.3781E6, "refraction": 0.13}}')
-    c = f.select(_KEY, P.camera_json(F.col("content")).alias("c"))
+    c = f.select(_key(), P.camera_json(F.col("content")).alias("c"))
     return c.select("pk", F.col("c.xyz")[0].alias("x"), F.col("c.viewdir")[0].alias("yaw"), F.col("c.imgsz")[0].alias("nx"), F.col("c.f")[0].alias("f"), F.col("c.k")[0].alias("k1"), F.col("c.k")[1].alias("k2"), F.col("c.correction.refraction").alias("refraction"))
 
 
@@ -77,7 +79,7 @@ def scan_camera_json(spark, sf):
 def sink_camera_json(spark, sf):
     """To JSON and back."""
     f = _files(spark, sf, '{"xyz": [{a}, 2, 3], "f": [{b}, {b}]}')
-    c = f.select(_KEY, P.camera_json(F.col("content")).alias("c"))
+    c = f.select(_key(), P.camera_json(F.col("content")).alias("c"))
     back = c.withColumn("d", P.camera_json(P.camera_to_json(F.col("c"))))
     return back.select("pk", F.col("d.xyz")[0].alias("x"), ((F.col("c.k") == F.col("d.k")) & (F.col("c.f") == F.col("d.f"))).alias("same"))
 
@@ -147,20 +149,20 @@ def _made(spark, sf):
 def scan_exif(spark, sf):
     t = E.read_tags(_made(spark, sf))
     e = F.col("exif")
-    return t.select(_KEY, E.tag(e, "0th", "Model").alias("model"), (F.size(e["0th"]) + F.size(e["Exif"])).alias("tags"), E.tag(e, "Exif", "PixelXDimension").alias("nx"))
+    return t.select(_key(), E.tag(e, "0th", "Model").alias("model"), (F.size(e["0th"]) + F.size(e["Exif"])).alias("tags"), E.tag(e, "Exif", "PixelXDimension").alias("nx"))
 
 
 @query("SELECT p_partkey AS pk, 100 + p_size AS nx, 80 AS ny, TIMESTAMP '2014-10-13 02:03:36.28' AS ts, " + sql6("1 / p_size::DOUBLE") + " AS exposure, 8.0::DOUBLE AS aperture, p_retailprice AS fmm, 'NIKON CORPORATION' AS make FROM part")
 def exif_fields(spark, sf):
     f = E.fields(E.read_tags(_made(spark, sf)))
-    return f.select(_KEY, "nx", "ny", "ts", r6(F.col("exposure")).alias("exposure"), "aperture", r6(F.col("fmm")).alias("fmm"), "make")
+    return f.select(_key(), "nx", "ny", "ts", r6(F.col("exposure")).alias("exposure"), "aperture", r6(F.col("fmm")).alias("fmm"), "make")
 
 
 @query("SELECT p_partkey AS pk, true AS same FROM part")
 def sink_exif(spark, sf):
     """Written blocks are read back: whole, rational and text values survive."""
     t = E.fields(E.read_tags(_made(spark, sf)))
-    return t.select(_KEY, ((F.col("aperture") == 8.0) & (F.col("ny") == 80) & (F.col("model") == "NIKON D200")).alias("same"))
+    return t.select(_key(), ((F.col("aperture") == 8.0) & (F.col("ny") == 80) & (F.col("model") == "NIKON D200")).alias("same"))
 
 
 @query("SELECT p_partkey AS pk, coalesce(CASE WHEN p_size % 2 = 0 THEN 100 + p_size END, CASE WHEN p_size % 3 = 0 THEN 50 END, 10)::INT AS nx FROM part")
@@ -191,7 +193,7 @@ _RING = "{b},0 {a},{b} 3,{a} {b},0"
 
 @query("SELECT p_partkey AS pk, least(p_size, 3)::DOUBLE AS x0, 0.0::DOUBLE AS y0, p_retailprice AS x1, p_retailprice AS y1 FROM part")
 def svg_bbox(spark, sf):
-    f = _files(spark, sf, _RING).select(_KEY, S.bounds(S.pairs(F.col("content"))).alias("b"))
+    f = _files(spark, sf, _RING).select(_key(), S.bounds(S.pairs(F.col("content"))).alias("b"))
     return f.select("pk", "b.*")
 
 
@@ -199,13 +201,13 @@ def svg_bbox(spark, sf):
 def svg_closed(spark, sf):
     f = _files(spark, sf, _RING)
     p = S.pairs(F.col("content"))
-    return f.select(_KEY, S.closed(p).alias("ring"), S.closed(F.slice(p, 1, 3)).alias("open"))
+    return f.select(_key(), S.closed(p).alias("ring"), S.closed(F.slice(p, 1, 3)).alias("open"))
 
 
 @query("SELECT p_partkey AS pk, i::INT AS vertex, CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 + p_size WHEN 2 THEN 1.0 + p_size ELSE 1.0 END::DOUBLE AS x, CASE i WHEN 0 THEN 2.0 WHEN 1 THEN 2.0 WHEN 2 THEN p_retailprice ELSE 2.0 END AS y FROM part, range(0, 4) t(i)")
 def svg_path_parse(spark, sf):
     f = _files(spark, sf, '<svg><path d="M1,2h{b} C 0 0 5 5 -1 -1 V{a}Z"/></svg>'.replace(" C 0 0 5 5 -1 -1", ""))
-    return S.read_vertices(f).select(_FILE, "vertex", "x", "y")
+    return S.read_vertices(f).select(_key("file"), "vertex", "x", "y")
 
 
 _DOC = '<svg xmlns="http://www.w3.org/2000/svg"><g id="layer" transform="translate(10,0)"><polygon points="0,0 {b},0 {b},{a}" transform="scale(2)"/><line x1="1" y1="2" x2="{b}" y2="4"/></g><rect x="1" y="1" width="{b}" height="2"/></svg>'
@@ -219,13 +221,13 @@ _DOC = '<svg xmlns="http://www.w3.org/2000/svg"><g id="layer" transform="transla
 )
 def scan_svg(spark, sf):
     v = S.read_vertices(_files(spark, sf, _DOC))
-    return v.groupBy(_FILE, "elem").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), r6(F.sum("y")).alias("sy"))
+    return v.groupBy(_key("file"), "elem").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), r6(F.sum("y")).alias("sy"))
 
 
 @query("SELECT p_partkey AS pk, unnest(['layer/polygon', 'layer/line', 'rect']) AS name, unnest([4, 2, 5])::BIGINT AS n FROM part")
 def svg_elements(spark, sf):
     v = S.read_vertices(_files(spark, sf, _DOC))
-    return v.groupBy(_FILE, F.concat_ws("/", "path").alias("name")).agg(F.count("*").alias("n"))
+    return v.groupBy(_key("file"), F.concat_ws("/", "path").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_regionkey AS file, count(*) AS n, sum(n_nationkey)::DOUBLE AS sx FROM nation GROUP BY 1")

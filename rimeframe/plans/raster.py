@@ -27,14 +27,19 @@ def query(sql: str | None = None):
 
 NX, NY = 50, 11
 GRID = R.of(NX, NY, (0.0, 100.0), (33.0, 0.0))  # cells 2 wide and -3 high
-C = "cells AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS raster_id, round(l_discount * 100)::BIGINT AS row, (l_quantity - 1)::BIGINT AS col, round(avg(l_extendedprice) / 1000, 6) AS z, count(*) AS n FROM lineitem GROUP BY ALL)"
+C = """means AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k, round(l_discount * 100)::BIGINT AS r, (l_quantity - 1)::BIGINT AS c, round(avg(l_extendedprice) / 1000 + 0.000000012::DOUBLE, 6) AS m FROM lineitem GROUP BY ALL),
+cells AS (SELECT i // 550 AS raster_id, i % 550 // 50 AS row, i % 50 AS col, coalesce(m, 30.0::DOUBLE) AS z FROM range(0, 1650) t(i) LEFT JOIN means ON k = i // 550 AND r = i % 550 // 50 AND c = i % 50)"""
 
 
 def cells(spark, sf):
+    """Mean prices, 30 where there are none.  The small number added keeps halves from being rounded either way by the
+    last bit of a sum."""
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     t = table(spark, sf, "lineitem")
     t = t.groupBy(flag.cast("long").alias("raster_id"), F.round(F.col("l_discount") * 100).cast("long").alias("row"), (F.col("l_quantity") - 1).cast("long").alias("col"))
-    return t.agg(F.round(F.avg("l_extendedprice") / 1000, 6).alias("z"), F.count("*").alias("n"))
+    means = t.agg(F.round(F.avg("l_extendedprice") / 1000 + 0.000000012, 6).alias("z"))
+    lattice = spark.range(1650).select(F.expr("id div 550").alias("raster_id"), F.expr("id % 550 div 50").alias("row"), (F.col("id") % 50).alias("col"))
+    return lattice.join(means, ["raster_id", "row", "col"], "left").withColumn("z", F.coalesce("z", F.lit(30.0)))
 
 
 def _out(df, names=("z",), digits=6):
@@ -47,11 +52,11 @@ def rasterize_points(spark, sf):
     return t.agg(r6(F.avg("l_extendedprice"), 7).alias("price"), r6(F.avg("l_tax")).alias("tax"), F.count("*").alias("n"))
 
 
-@query(f"WITH {C}, p AS (SELECT p_size % 11 AS row, p_partkey % 50 AS col, avg(p_retailprice) AS m FROM part GROUP BY ALL) SELECT raster_id, c.row, c.col, {sql6('coalesce(m, z)', 4)} AS z FROM cells c LEFT JOIN p ON p.row = c.row AND p.col = c.col")
+@query(f"WITH {C}, p AS (SELECT p_size % 11 AS row, p_partkey % 50 AS col, avg(p_retailprice) AS m FROM part GROUP BY ALL) SELECT raster_id, c.row, c.col, {sql6('coalesce(p.m, z)', 7)} AS z FROM cells c LEFT JOIN p ON p.row = c.row AND p.col = c.col")
 def raster_rasterize(spark, sf):
     """Points burnt into an existing raster: the mean where there are points, the old value elsewhere."""
     p = table(spark, sf, "part").groupBy((F.col("p_size") % 11).cast("long").alias("row"), (F.col("p_partkey") % 50).alias("col")).agg(F.avg("p_retailprice").alias("m"))
-    return _out(cells(spark, sf).join(p, ["row", "col"], "left").withColumn("z", F.coalesce("m", "z")), digits=4)
+    return _out(cells(spark, sf).join(p, ["row", "col"], "left").withColumn("z", F.coalesce("m", "z")), digits=7)
 
 
 @query(f"WITH {C} SELECT raster_id, min(z) AS z0, max(z) AS z1 FROM cells GROUP BY 1")
@@ -186,9 +191,9 @@ def fill_crevasses(spark, sf):
     return _out(O.gaussian_filter(O.maximum_filter(cells(spark, sf), 1), 1.5, NX, NY))
 
 
-@query(f"WITH {C} SELECT a.raster_id, a.row, a.col, {sql6('any_value(a.z) - median(b.z)')} AS z FROM cells a JOIN cells b ON a.raster_id = b.raster_id AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL")
+@query(f"WITH {C} SELECT a.raster_id, a.row, a.col, {sql6('any_value(a.z) - median(b.z)', 9)} AS z FROM cells a JOIN cells b ON a.raster_id = b.raster_id AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL")
 def median_highpass(spark, sf):
-    return _out(O.median_highpass(cells(spark, sf)))
+    return _out(O.median_highpass(cells(spark, sf)), digits=9)
 
 
 @query(f"WITH {C} SELECT raster_id, row, col, CASE WHEN pow(row - 5, 2) + pow(col - 25, 2) <= 20 THEN -1.0 ELSE z END AS z FROM cells")
@@ -221,14 +226,14 @@ _TS = "ts AS (SELECT (year(o_orderdate) - 1995)::BIGINT AS raster_id, o_custkey
 
 @query(
     f"""WITH {_TS}, g AS (SELECT a.row, a.col, a.z AS z0, b.z AS z1, a.s AS s0, b.s AS s1 FROM ts a JOIN ts b ON a.row = b.row AND a.col = b.col WHERE a.raster_id = 2 AND b.raster_id = 3)
-SELECT row, col, {sql6('z0 + (z1 - z0) * 0.3', 9)} AS z, {sql6('sqrt(s0 * s0 + 0.3 * 0.3 * (s0 * s0 + s1 * s1) + pow((z1 - z0) * 0.3 / 3, 2))')} AS s FROM g"""
+SELECT row, col, {sql6('z0 + (z1 - z0) * 0.3 + 0.000000011::DOUBLE')} AS z, {sql6('sqrt(s0 * s0 + 0.3 * 0.3 * (s0 * s0 + s1 * s1) + pow((z1 - z0) * 0.3 / 3, 2))')} AS s FROM g"""
 )
 def raster_interpolate(spark, sf):
     """Between the rasters of the third and fourth year, three tenths on."""
     o = table(spark, sf, "orders").groupBy((F.year("o_orderdate") - 1995).cast("long").alias("raster_id"), (F.col("o_custkey") % 11).alias("row"), (F.col("o_orderkey") % 50).alias("col"))
     o = o.agg((F.avg("o_totalprice") / 10000).alias("z")).withColumn("s", 1.0 + F.col("row") * 0.1)
     got = O.interpolate(o.where("raster_id = 2"), o.where("raster_id = 3"), F.lit(0.3), F.lit(0.3))
-    return got.select("row", "col", r6(F.col("z"), 9).alias("z"), r6(F.col("s")).alias("s"))
+    return got.select("row", "col", r6(F.col("z") + 0.000000011).alias("z"), r6(F.col("s")).alias("s"))
 
 
 _POLY = "poly AS (SELECT n_nationkey AS pid, 5.0::DOUBLE + n_nationkey * 3 AS x, 4.0::DOUBLE + n_regionkey * 5 AS y FROM nation), ring AS (SELECT pid, x AS xa, y AS ya, x + 18 AS xb, y + 3 AS yb FROM poly UNION ALL SELECT pid, x + 18, y + 3, x + 10, y + 12 FROM poly UNION ALL SELECT pid, x + 10, y + 12, x, y FROM poly UNION ALL SELECT pid, x + 8, y + 4, x + 11, y + 4 FROM poly UNION ALL SELECT pid, x + 11, y + 4, x + 11, y + 7 FROM poly UNION ALL SELECT pid, x + 11, y + 7, x + 8, y + 7 FROM poly UNION ALL SELECT pid, x + 8, y + 7, x + 8, y + 4 FROM poly)"
