@@ -58,7 +58,7 @@ def border_points(cameras: DataFrame, step: int) -> DataFrame:
     nx, ny = F.col("nx"), F.col("ny")
 
     def count(n: Column) -> Column:
-        return F.ceil(n / step).cast("int")
+        return F.greatest(F.floor(n / step), F.lit(1)).cast("int")
 
     parts = []
     for e, (n, u, v) in enumerate(

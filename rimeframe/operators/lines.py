@@ -28,12 +28,12 @@ def bresenham_lines(lines: DataFrame, key: str) -> DataFrame:
 def bresenham_circles(circles: DataFrame) -> DataFrame:
     """Cells of the ring of radius r around (x, y), each once: k, x, y.
 
-    In each octant the ring holds, for every step along one axis, the cell nearest to the circle on the other.
-    """
+    The midpoint rule keeps, i steps along one axis, the greatest j with i*i + j*j - j <= r*r on the other; an octant has
+    (sqrt(2) * (r - 1) + 4) / 2 steps, rounded down."""
     r = F.col("r")
-    steps = circles.withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(r / F.sqrt(F.lit(2.0))).cast("int"))))
-    j = F.floor(F.sqrt(F.greatest(r * r - F.col("i") * F.col("i"), F.lit(0)).cast("double")) + 0.5).cast("int")
-    steps = steps.withColumn("j", j).where("i <= j")
+    size = F.floor((F.sqrt(F.lit(2.0)) * (r - 1) + 4) / 2).cast("int")
+    steps = circles.withColumn("i", F.explode(F.sequence(F.lit(0), size - 1)))
+    steps = steps.withColumn("j", F.floor(0.5 + F.sqrt(r * r - F.col("i") * F.col("i") + 0.25)).cast("int"))
     around = F.array(*[F.struct((sa * F.col(a)).alias("dx"), (sb * F.col(b)).alias("dy")) for a, b in (("i", "j"), ("j", "i")) for sa in (1, -1) for sb in (1, -1)])
     return steps.select("k", "x", "y", F.explode(around).alias("d")).select("k", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct()
 

@@ -249,7 +249,7 @@ def cam_grid(spark, sf):
 
 @query()
 def cam_viewbox(spark, sf):
-    box = O.view_boxes(cameras(spark, sf), 50, 100.0)
+    box = O.view_boxes(cameras(spark, sf), 1, 100.0)
     return box.select("cam_id", *[r6(F.col(c)).alias(c) for c in box.columns[1:]])
 
 

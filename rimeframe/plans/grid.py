@@ -244,9 +244,13 @@ def bresenham_line(spark, sf):
     return L.bresenham_lines(lines, "k").select("k", "t", "x", "y")
 
 
-@query()
+@query(
+    """WITH RECURSIVE s(k, r, n, x, y, f) AS (SELECT n_nationkey::INT, n_nationkey::INT + 1, floor((sqrt(2) * n_nationkey + 4) / 2)::INT, 0, n_nationkey::INT + 1, -n_nationkey::INT FROM nation UNION ALL
+  SELECT k, r, n, x + 1, CASE WHEN f > 0 THEN y - 1 ELSE y END, CASE WHEN f > 0 THEN f - 2 * y + 2 + 2 * x + 3 ELSE f + 2 * x + 3 END FROM s WHERE x < n - 1)
+SELECT DISTINCT k, a * u AS x, b * v AS y FROM (SELECT k, x AS u, y AS v FROM s UNION ALL SELECT k, y, x FROM s), (VALUES (1), (-1)) t(a), (VALUES (1), (-1)) w(b)"""
+)
 def bresenham_circle(spark, sf):
-    return L.bresenham_circles(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("n_nationkey") + 1).cast("int").alias("r")))
+    return L.bresenham_circles(table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("n_nationkey") + 1).cast("int").alias("r")))
 
 
 #: Paths: events of a user in time, x the hour, y the value.

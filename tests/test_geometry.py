@@ -67,6 +67,8 @@ def test_circle_has_its_corners(spark):
     cells = {(r.x, r.y) for r in L.bresenham_circles(df).collect()}
     assert {(3, 0), (0, 3), (-3, 0), (0, -3)} <= cells
     assert {(y, x) for x, y in cells} == cells and all(2.4 < np.hypot(x, y) < 3.6 for x, y in cells)
+    least = L.bresenham_circles(spark.createDataFrame([(1, 0, 0, 1)], "k int, x int, y int, r int")).collect()
+    assert {(r.x, r.y) for r in least} == {(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)} - {(0, 0)}
 
 
 def test_lines_in_all_directions(spark):
