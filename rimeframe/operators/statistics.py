@@ -38,12 +38,15 @@ def weighted_moments(rows: DataFrame, keys: list[str], values: list[str], weight
     return got.withColumns({f"sigma_{v}": F.sqrt(f"cov_{v}_{v}") for v in values})
 
 
-def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with their share of values at or below: keys, value, q."""
+def distribution(rows: DataFrame, keys: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """Distinct values with their share of values at or below: keys, value, q.
+
+    ``bucket`` grows with the value; with it a key's values are summed up bucket by bucket instead of in one window."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumns({"_c": upto, "_t": F.sum("n").over(w)}).select(*keys, value, (F.col("_c") / F.col("_t")).alias("q"))
+    if bucket is None:
+        bucket = F.lit(0)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
+    return running_sum(counts, keys, value, "n", "_c", bucket).join(totals, keys).select(*keys, value, (F.col("_c") / F.col("_t")).alias("q"))
 
 
 def match_distribution(rows: DataFrame, value: str, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name:
     marked = rows.withColumn("_b", bucket)
     totals = marked.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_start"))
+    starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
     inside = F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     same = F.col("_b") == F.col("_bb")
     for k in keys:

@@ -228,7 +228,7 @@ def normalize(spark, sf):
 
 @query(f"WITH {EV} SELECT DISTINCT event_type, value, {sql6('cume_dist() OVER (PARTITION BY event_type ORDER BY value)', 9)} AS q FROM ev")
 def compute_cdf(spark, sf):
-    return S.distribution(events(spark, sf), ["event_type"], "value").withColumn("q", r6(F.col("q"), 9))
+    return S.distribution(events(spark, sf), ["event_type"], "value", F.floor(F.col("value") / 8)).withColumn("q", r6(F.col("q"), 9))
 
 
 @query(
@@ -238,7 +238,7 @@ SELECT value, {sql6('CASE WHEN a.q < lo.q THEN lo.v WHEN st.q1 IS NULL THEN st.v
 )
 def match_cdf(spark, sf):
     e = events(spark, sf).withColumn("part", F.lit(0))
-    a, b = (S.distribution(e.where(F.col("event_type") == t), ["part"], "value") for t in ("click", "view"))
+    a, b = (S.distribution(e.where(F.col("event_type") == t), ["part"], "value", F.floor(F.col("value") / 8)) for t in ("click", "view"))
     return S.match_distribution(e, "value", a, b).select("value", r6(F.col("matched")).alias("matched"))
 
 
