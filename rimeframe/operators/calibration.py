@@ -117,6 +117,25 @@ def ransac_subsets(size: int, n: int, iterations: int, seed: int) -> list[list[i
     return [list(s) for s in sorted(out)]
 
 
+def ransac(model, n: int, max_error: float, min_inliers: int, iterations: int, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """Robust fit of any model with ``size``, ``fit(index)`` and ``errors(params, index)``, on the driver.
+
+    A sample's fit is accepted if more than ``min_inliers`` errors lie below ``max_error``; it is fitted again to them, and
+    the least mean error wins.  Gives its parameters and the index of all errors up to ``max_error``."""
+    best, params, everything = float("inf"), None, np.arange(model.size)
+    for sample in ransac_subsets(model.size, n, iterations, seed):
+        trial = model.fit(np.array(sample))
+        inside = everything[model.errors(trial, everything) < max_error]
+        if len(inside) <= min_inliers:
+            continue
+        trial = model.fit(inside)
+        mean = float(np.mean(model.errors(trial, inside)))
+        if mean < best:
+            best, params = mean, trial
+    inliers = everything[model.errors(params, everything) <= max_error] if params is not None else everything[:0]
+    return params, inliers
+
+
 def ransac_line(rows: DataFrame, ident: str, x: str, y: str, n: int, max_error: float, min_inliers: int, iterations: int, seed: int, size: int) -> tuple[list[float], float]:
     """A robust line: every subset's fit is scored in one pass over all rows; the accepted fit (more than ``min_inliers``
     within ``max_error``) of least mean error after a refit wins.  ``ident`` numbers the rows from 0."""

@@ -207,15 +207,20 @@ def patches(tracks: DataFrame, image_rows: DataFrame, reach: int) -> DataFrame:
     return met.groupBy("track", "step", "t", "row0", "col0").agg(lines.alias("pixels"))
 
 
-TRACK_SCHEMA = "track long, step int, t double, x double, y double, z double, vx double, vy double, vz double, sx double, sy double, svx double, svy double, error string"
+TRACK_SCHEMA = (
+    "track long, step int, t double, x double, y double, z double, vx double, vy double, vz double, sx double, sy double, sz double, svx double, svy double, svz double, "
+    "cov array<double>, reduced double, error string"
+)
 
 
-def track(frames: DataFrame, to_pixels, particles: int = 500, tile: int = 15, sigma: float = 0.3, method: str = "systematic", dem=None) -> DataFrame:
+def track(frames: DataFrame, to_pixels, particles: int = 500, tile: int = 15, sigma: float = 0.3, method: str = "systematic", dem=None, models: dict | None = None, reduce=None) -> DataFrame:
     """Tracks from patches joined with their models: columns of ``patches`` plus kind, seed and params (map of numbers).
 
     ``to_pixels(points)`` maps an (n, 3) array to columns u, v.  Steps are frames in time; the template is cut at the
     first; weights come from the squared difference around each particle.  Weights are gathered with the particles and
-    are not reset."""
+    are not reset.  ``models`` adds motion models by kind; ``reduce(particles, weights)`` gives a number for each step.
+    Results are means, sigmas (sx ..) and the 6 x 6 covariance, row by row."""
+    known = MODELS | (models or {})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -223,7 +228,7 @@ def track(frames: DataFrame, to_pixels, particles: int = 500, tile: int = 15, si
         first = pdf.iloc[0]
         try:
             rng = np.random.default_rng(int(first["seed"]))
-            model = MODELS[first["kind"]](dict(first["params"]), dem)
+            model = known[first["kind"]](dict(first["params"]), dem)
             p, w, template, before = None, np.ones(particles), None, None
             for _, f in pdf.iterrows():
                 image = np.stack([np.asarray(r, float) for r in f["pixels"]])
@@ -257,10 +262,12 @@ def track(frames: DataFrame, to_pixels, particles: int = 500, tile: int = 15, si
                         drawn = resample(w, method, rng)
                         p, w = p[drawn], w[drawn]
                 mean = np.average(p, axis=0, weights=w)
-                spread = np.sqrt(np.average((p - mean) ** 2, axis=0, weights=w))
-                rows.append((first["track"], int(f["step"]), float(f["t"]), *mean, spread[0], spread[1], spread[3], spread[4], error))
+                off = p - mean
+                cov = (off * w[:, None]).T @ off / w.sum()
+                reduced = None if reduce is None else float(reduce(p, w))
+                rows.append((first["track"], int(f["step"]), float(f["t"]), *mean, *np.sqrt(np.maximum(np.diag(cov), 0)), cov.ravel().tolist(), reduced, error))
         except Exception as e:  # one track's failure is a value of its own
-            rows.append((first["track"], -1, np.nan, *[np.nan] * 10, f"{type(e).__name__}: {e}"))
+            rows.append((first["track"], -1, np.nan, *[np.nan] * 12, None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_SCHEMA.split(", ")])
 
     return frames.groupBy("track").applyInPandas(run, TRACK_SCHEMA)

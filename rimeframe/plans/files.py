@@ -163,3 +163,23 @@ def image_cache(spark, sf):
     out = S.checkpoint(e.groupBy(F.col("user_id").alias("observer")).agg(F.count("*").alias("images")), "cache")
     e.unpersist()
     return out
+
+
+@query(f"WITH {CELLS} SELECT raster_id, row, col, z FROM cells")
+def raster_copy(spark, sf):
+    """A DataFrame is its own copy: what is derived from it leaves it as it was."""
+    c = raster.cells(spark, sf).select("raster_id", "row", "col", "z")
+    c.withColumn("z", F.lit(0.0))
+    return c
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages")
+def strip_path(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("last"))
+
+
+@query(f"WITH {CAM}, {match._CTRL} SELECT cam_id, {sql6('any_value(fx) * radians(1.0::DOUBLE) / count(*)')} AS scale FROM cam JOIN ctrl USING (cam_id) GROUP BY 1")
+def cameras_scales_build(spark, sf):
+    """The scale of each camera's view direction, shared by the controls that depend on it."""
+    dep = match._controls(spark, sf).join(cameras(spark, sf).select("cam_id", "fx"), "cam_id")
+    return dep.groupBy("cam_id").agg(r6(F.first("fx") * F.radians(F.lit(1.0)) / F.count("*")).alias("scale"))

@@ -132,3 +132,41 @@ def test_viewshed_of_a_wall(spark):
     cells = spark.createDataFrame(rows, "raster_id long, row long, col long, z double, eye_row long, eye_col long, eye_z double")
     seen = {(r.row, r.col): r.visible for r in O.viewshed_rings(cells, 1.0).collect()}
     assert seen[4, 6] and not seen[4, 9] and seen[4, 2]
+
+
+def test_ransac_of_any_model():
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 10, 120)
+    y = 2 * x - 1 + rng.normal(0, 0.01, 120)
+    y[::4] += rng.uniform(3, 20, 30)
+
+    class Line:
+        size = 120
+
+        def fit(self, index):
+            return np.polyfit(x[index], y[index], 1)
+
+        def errors(self, params, index):
+            return np.abs(np.polyval(params, x[index]) - y[index])
+
+    params, inliers = K.ransac(Line(), 2, 0.1, 50, 40, seed=1)
+    assert np.allclose(params, [2, -1], atol=0.02) and set(inliers) == set(range(120)) - set(range(0, 120, 4))
+
+
+def test_tracks_with_a_plugged_in_model_and_reduction(spark):
+    import pandas as pd
+
+    class Still(T.Motion):
+        def start(self, n, rng):
+            p = np.zeros((n, 6))
+            p[:, :2] = self.of("x", "y") + rng.normal(0, 0.5, (n, 2))
+            return p
+
+    y, x = np.mgrid[0:60, 0:60]
+    image = (50 * np.sin(x / 2.3) * np.cos(y / 3.1) + 20 * np.sin(x / 5 + y / 2)).tolist()
+    rows = [(k, s, float(s), 0, 0, image if k == 1 else image[:9], "still", 3, {"x": 30.0, "y": 30.0}) for k in (1, 2) for s in range(3)]
+    frames = spark.createDataFrame(pd.DataFrame(rows, columns=["track", "step", "t", "row0", "col0", "pixels", "kind", "seed", "params"]), "track long, step int, t double, row0 int, col0 int, pixels array<array<double>>, kind string, seed long, params map<string,double>")
+    got = T.track(frames, lambda p: p[:, :2], particles=200, models={"still": Still}, reduce=lambda p, w: p[:, 0].max()).collect()
+    good = [r for r in got if r.track == 1]
+    assert len(good) == 3 and all(abs(r.x - 30) < 0.3 and len(r.cov) == 36 and r.reduced >= r.x and r.error is None for r in good)
+    assert [r.error is not None for r in got if r.track == 2] == [True]
