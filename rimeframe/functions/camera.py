@@ -8,6 +8,7 @@ stays inside one generated stage.  NULL stands for "no answer", such as a point
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -206,3 +207,33 @@ def millimetres(cam: Cam, sensor_w: Column, sensor_h: Column) -> dict[str, Colum
         "fmm_x": cam["fx"] * sensor_w / cam["nx"], "fmm_y": cam["fy"] * sensor_h / cam["ny"],
         "cmm_x": cam["cx"] * sensor_w / cam["nx"], "cmm_y": cam["cy"] * sensor_h / cam["ny"],
     }
+
+
+def scales(cam: Cam, mean_distance: Column | None = None) -> dict[str, Column]:
+    """Change of each parameter that moves image points by about a pixel, at the mean distance from the image centre.
+
+    Positions need the mean distance to the control points; without it they count one pixel a unit."""
+    f = (cam["fx"] + cam["fy"]) / 2.0
+    radius_px = (cam["nx"] + cam["ny"]) / 12.0 * (math.sqrt(2) + math.log(1 + math.sqrt(2)))
+    r = radius_px / f
+    out = {n: F.lit(1.0) if mean_distance is None else mean_distance / f for n in "xyz"}
+    for angle, n, focal in (("yaw", "nx", "fx"), ("pitch", "ny", "fy")):
+        out[angle] = F.degrees(2.0 * F.atan(cam[n] / (2.0 * cam[focal]))) / cam[n]
+    out["roll"] = 1.0 / (2.0 * radius_px * math.sin(math.radians(0.5)))
+    out |= {"nx": F.lit(2.0), "ny": F.lit(2.0), "fx": 1.0 / r, "fy": 1.0 / r, "cx": F.lit(1.0), "cy": F.lit(1.0)}
+    for i, power in enumerate((3, 5, 7)):
+        plain = F.pow(r, F.lit(float(power))) * f * 2 ** (i + 0.5)
+        out[f"k{i + 1}"] = 1.0 / plain
+        out[f"k{i + 4}"] = (1.0 + cam[f"k{i + 4}"] * F.pow(r, F.lit(float(power - 1)))) / plain
+    out["p1"] = out["p2"] = 1.0 / (math.sqrt(5) * r * r * f)
+    return out
+
+
+def default_bounds(cam: Cam) -> dict[str, tuple[Column | None, Column | None]]:
+    """Lower and upper bound of each parameter, None where there is none; distortion stays where it can be undone."""
+    f = (cam["fx"] + cam["fy"]) / 2.0
+    out: dict[str, tuple[Column | None, Column | None]] = {n: (None, None) for n in ("x", "y", "z", "yaw", "pitch", "roll")}
+    out |= {n: (F.lit(0.0), None) for n in ("nx", "ny", "fx", "fy")}
+    out |= {c: (-0.5 * cam[n], 0.5 * cam[n]) for c, n in (("cx", "nx"), ("cy", "ny"))}
+    share = {"k2": 8000.0, "k3": 8000.0, "p1": 40000.0, "p2": 40000.0}
+    return out | {n: (-f / share.get(n, 4000.0), f / share.get(n, 4000.0)) for n in [*RADIAL, *TANGENTIAL]}

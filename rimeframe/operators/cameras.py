@@ -93,14 +93,16 @@ def view_boxes(cameras: DataFrame, step: int, distance: float) -> DataFrame:
     return rays.groupBy("cam_id").agg(*stats)
 
 
-def reversible(cameras: DataFrame, n: int = 100) -> DataFrame:
-    """Whether the distorted centre row and column increase everywhere, so that distortion can be undone."""
+def reversible(cameras: DataFrame) -> DataFrame:
+    """Whether the distorted centre row and column never fall back, so that distortion can be undone: one point a pixel."""
     cam = C.camera()
-    edge = {a: (F.col(f"n{a}") / 2.0 + F.abs(F.col(f"c{a}"))) / F.col(f"f{a}") for a in "xy"}
-    points = cameras.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i"))
-    t = F.col("i") * 2.0 / n - 1.0
-    row = points.withColumns({"axis": F.lit("x"), "w": C.distort(cam, edge["x"] * t, F.lit(0.0))[0]})
-    column = points.withColumns({"axis": F.lit("y"), "w": C.distort(cam, F.lit(0.0), edge["y"] * t)[1]})
+    out = None
+    for axis in "xy":
+        n, half = F.col(f"n{axis}"), F.col(f"n{axis}") / (2.0 * F.col(f"f{axis}"))
+        points = cameras.select("*", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("i"))
+        at = half * (2.0 * F.col("i") / (n - 1.0) - 1.0)
+        bent = C.distort(cam, at, F.lit(0.0))[0] if axis == "x" else C.distort(cam, F.lit(0.0), at)[1]
+        part = points.select("cam_id", "i", F.lit(axis).alias("axis"), bent.alias("w"))
+        out = part if out is None else out.unionByName(part)
     before = F.lag("w").over(Window.partitionBy("cam_id", "axis").orderBy("i"))
-    steps = row.unionByName(column).withColumn("up", F.coalesce(F.col("w") > before, F.lit(True)))
-    return steps.groupBy("cam_id").agg(F.bool_and("up").alias("reversible"))
+    return out.withColumn("up", F.coalesce(F.col("w") >= before, F.lit(True))).groupBy("cam_id").agg(F.bool_and("up").alias("reversible"))

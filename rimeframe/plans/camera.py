@@ -180,10 +180,10 @@ def cam_unproject(spark, sf):
 
 
 @query(
-    f"""WITH {CAM}, e AS (SELECT cam_id, axis, i, CASE axis WHEN 'x' THEN (nx / 2 + abs(cx)) / fx ELSE (ny / 2 + abs(cy)) / fy END * (i * 2.0::DOUBLE / 100 - 1) AS w, cam.* EXCLUDE (cam_id) FROM cam, range(0, 101) t(i), (VALUES ('x'), ('y')) a(axis)),
+    f"""WITH {CAM}, e AS (SELECT cam_id, axis, i, CASE axis WHEN 'x' THEN nx / (2 * fx) * (2.0::DOUBLE * i / (nx - 1) - 1) ELSE ny / (2 * fy) * (2.0::DOUBLE * i / (ny - 1) - 1) END AS w, cam.* EXCLUDE (cam_id) FROM cam, range(0, 400) t(i), (VALUES ('x'), ('y')) a(axis) WHERE axis = 'x' OR i < ny),
 d AS (SELECT *, w * w AS r2 FROM e),
 f AS (SELECT cam_id, axis, i, w * (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) / (1 + r2 * (k4 + r2 * (k5 + r2 * k6))) + CASE axis WHEN 'x' THEN p2 ELSE p1 END * 3 * r2 AS q FROM d)
-SELECT cam_id, bool_and(up) AS reversible FROM (SELECT cam_id, coalesce(q > lag(q) OVER (PARTITION BY cam_id, axis ORDER BY i), true) AS up FROM f) GROUP BY cam_id"""
+SELECT cam_id, bool_and(up) AS reversible FROM (SELECT cam_id, coalesce(q >= lag(q) OVER (PARTITION BY cam_id, axis ORDER BY i), true) AS up FROM f) GROUP BY cam_id"""
 )
 def cam_reversible(spark, sf):
     return O.reversible(cameras(spark, sf))
@@ -269,17 +269,23 @@ def elevation_correction(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("ck"), r6(C.elevation_correction(F.col("c_acctbal") * F.col("c_acctbal")), 9).alias("dz"))
 
 
-#: Heuristic pixels per unit of each parameter group: what one unit of it moves an image point at most.
-@query(f"WITH {CAM} SELECT cam_id, {sql6('radians(1.0::DOUBLE) * fx')} AS yaw, {sql6('sqrt(nx * nx + ny * ny) / 2 * radians(1.0::DOUBLE)')} AS roll, {sql6('nx / (2 * fx)')} AS f, 1.0::DOUBLE AS c, {sql6('fx * pow(nx / (2 * fx), 3)')} AS k1 FROM cam")
+@query(
+    f"""WITH {CAM}, q AS (SELECT *, (fx + fy) / 2 AS f, (nx + ny) / 12 * (sqrt(2::DOUBLE) + ln(1 + sqrt(2::DOUBLE))) AS px FROM cam), m AS (SELECT *, px / f AS m FROM q)
+SELECT cam_id, 1.0::DOUBLE AS x, {sql6('degrees(2 * atan(nx / (2 * fx))) / nx')} AS yaw, {sql6('degrees(2 * atan(ny / (2 * fy))) / ny')} AS pitch, {sql6('1 / (2 * px * sin(radians(0.5::DOUBLE)))')} AS roll, 2.0::DOUBLE AS nx,
+  {sql6('1 / m')} AS fx, 1.0::DOUBLE AS cx, {sql6('1 / (pow(m, 3) * f * sqrt(2::DOUBLE))')} AS k1, {sql6('1 / (pow(m, 5) * f * pow(2::DOUBLE, 1.5))')} AS k2, {sql6('(1 + k5 * pow(m, 4)) / (pow(m, 5) * f * pow(2::DOUBLE, 1.5))')} AS k5, {sql6('1 / (sqrt(5::DOUBLE) * m * m * f)')} AS p1 FROM m"""
+)
 def camera_scales(spark, sf):
-    one, fx, nx = F.radians(F.lit(1.0)), F.col("fx"), F.col("nx")
-    return cameras(spark, sf).select(
-        "cam_id", r6(one * fx).alias("yaw"), r6(F.hypot(nx / 2, F.col("ny") / 2) * one).alias("roll"), r6(nx / (2 * fx)).alias("f"), F.lit(1.0).alias("c"), r6(fx * F.pow(nx / (2 * fx), F.lit(3.0))).alias("k1")
-    )
+    s = C.scales(C.camera())
+    return cameras(spark, sf).select("cam_id", *[r6(s[n]).alias(n) if n not in ("x", "nx", "cx") else s[n].alias(n) for n in ("x", "yaw", "pitch", "roll", "nx", "fx", "cx", "k1", "k2", "k5", "p1")])
 
 
-@query(f"WITH {CAM} SELECT cam_id, x - 10 AS x_low, x + 10 AS x_high, -180.0::DOUBLE AS yaw_low, 180.0::DOUBLE AS yaw_high, 0.0::DOUBLE AS f_low, fx * 4 AS f_high, -nx / 2 AS c_low, nx / 2 AS c_high FROM cam")
+@query(
+    f"""WITH {CAM}, b AS (SELECT cam_id, n, lo, hi FROM cam, LATERAL (VALUES ('x', NULL::DOUBLE, NULL::DOUBLE), ('yaw', NULL, NULL), ('nx', 0, NULL), ('fx', 0, NULL), ('cx', -nx / 2, nx / 2), ('cy', -ny / 2, ny / 2),
+  ('k1', -(fx + fy) / 8000, (fx + fy) / 8000), ('k2', -(fx + fy) / 16000, (fx + fy) / 16000), ('k6', -(fx + fy) / 8000, (fx + fy) / 8000), ('p2', -(fx + fy) / 80000, (fx + fy) / 80000)) t(n, lo, hi))
+SELECT cam_id, n AS name, {sql6('lo')} AS low, {sql6('hi')} AS high FROM b"""
+)
 def camera_bounds(spark, sf):
-    return cameras(spark, sf).select(
-        "cam_id", (F.col("x") - 10).alias("x_low"), (F.col("x") + 10).alias("x_high"), F.lit(-180.0).alias("yaw_low"), F.lit(180.0).alias("yaw_high"), F.lit(0.0).alias("f_low"), (F.col("fx") * 4).alias("f_high"), (-F.col("nx") / 2).alias("c_low"), (F.col("nx") / 2).alias("c_high")
-    )
+    bounds = C.default_bounds(C.camera())
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(n).alias("name"), (none if bounds[n][0] is None else r6(bounds[n][0])).alias("low"), (none if bounds[n][1] is None else r6(bounds[n][1])).alias("high")) for n in ("x", "yaw", "nx", "fx", "cx", "cy", "k1", "k2", "k6", "p2")]
+    return cameras(spark, sf).select("cam_id", F.explode(F.array(*rows)).alias("b")).select("cam_id", "b.*")
