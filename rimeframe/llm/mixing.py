@@ -55,17 +55,23 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
 def settle_pool(keys: list[str], sizes: list[int], fraction: float, seed: int) -> list[float]:
     """Documents in order of falling size that share one fraction; each meets the pool of those behind it.
 
-    All become 0 or 1 but the last, which keeps what is left.  Where the pool has no more mass to give or take, its
-    documents are integral too and the rest stays a deviation.
+    The two possible moves of words between document and pool are each the largest in its direction, and are drawn so that
+    the fractions keep their mean.  One of both is integral afterwards; if it is the pool, the document keeps what is left.
     """
     import xxhash
 
     out, pool, p = [], float(sum(sizes)), fraction
-    for key, size in zip(keys[:-1], sizes):
+    for i, (key, size) in enumerate(zip(keys[:-1], sizes)):
         pool -= size
-        took = xxhash.xxh64_intdigest(key, seed) / 2.0**64 < p
-        out.append(float(took))
-        p = min(1.0, max(0.0, p - (took - p) * size / pool))
+        up, down = min((1.0 - p) * size, p * pool), min(p * size, (1.0 - p) * pool)
+        draw = xxhash.xxh64_intdigest(key, seed) / 2.0**64
+        moved = up if draw * (up + down) < down else -down
+        own, rest = p + moved / size, p - moved / pool
+        own, rest = (0.0 if x < 1e-9 else 1.0 if x > 1.0 - 1e-9 else x for x in (own, rest))
+        out.append(own)
+        if rest in (0.0, 1.0):
+            return [*out, *[rest] * (len(keys) - i - 1)]
+        p = rest
     return [*out, p]
 
 
@@ -165,7 +171,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it (none, one or more); the columns as they were."""
     taken = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = taken.select(F.col("doc_id").alias("mixed_doc"), F.sequence(F.lit(1), "copies").alias("mixed_times"))
+    taken = taken.select(F.col("doc_id").alias("mixed_doc"), F.sequence(F.lit(1), "copies").alias("mixed_times")).hint("merge")
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_doc"])).select(*[docs[c] for c in docs.columns], F.explode(taken["mixed_times"]).alias("mixed_time"))
     return joined.select(*joined.columns[:-1]) if "mixed_time" not in docs.columns else joined.drop(joined["mixed_time"])
 
