@@ -93,9 +93,10 @@ def find_copies(docs: DataFrame, chunk_id: Callable[[Column], Column] = lambda c
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``find_copies`` does not keep; all columns as they were."""
-    kept = find_copies(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """``docs`` without the rows that ``find_copies`` does not keep; all columns as they were.  Rows without a doc_id stay."""
+    store = Store(docs.sparkSession, "exact-dropped")
+    gone = store.keep(find_copies(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
