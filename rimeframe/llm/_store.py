@@ -14,7 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the query that made them, and Arrow batches to Python are small, since
+#: their buffers lie outside the executor's heap.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,13 +56,15 @@ class Store:
 
     def keep(self, df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
         path = f"{self.root}/{label}"
-        before = self.spark.conf.get(_CLEAN, "false")
-        self.spark.conf.set(_CLEAN, "true")
+        before = {k: self.spark.conf.get(k) for k in _SETTINGS}
+        for k, v in _SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             writer = df.write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         finally:
-            self.spark.conf.set(_CLEAN, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         self.live.add(label)
         schema = df.schema
         if partition_by:

@@ -13,71 +13,78 @@ import numpy as np
 
 
 class RunLengthIndex:
-    def __init__(self, texts: list[bytes], owners: np.ndarray, length: int):
+    """``own_only``: keep the rows of whole windows only.  Such an index is a quarter of the size; the texts themselves can be
+    streamed through it (``own_windows``), other patterns cannot."""
+
+    def __init__(self, texts: list[bytes], owners: np.ndarray, length: int, own_only: bool = False):
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum(sizes + 1) - 1
         symbols = joined.astype(np.int16) + 1
         symbols[ends] = 0
         n = len(symbols)
-        self.length, self.symbols, self.ends = length, symbols, ends
-        rows, half, offset = self._sorted(symbols, int(sizes.max(initial=0)) + 1, length)
+        self.length, self.symbols, self.ends, self.own_only = length, symbols, ends, own_only
+        kept = np.arange(n)
+        if own_only:
+            kept = kept[np.repeat(ends, sizes + 1) - kept >= length]
+        rows, half, offset = self._sorted(symbols, int(sizes.max(initial=0)) + 1, length, kept)
         # Rows whose first ``length`` symbols agree form a class; a class has a least owner.
         tail = np.append(half, np.full(offset, -1, half.dtype))
         a, b = half[rows], tail[rows + offset]
         self.class_start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         owner = np.repeat(owners, sizes + 1)
         self.class_owner = np.minimum.reduceat(owner[rows], self.class_start)
-        # The transform, kept as runs.
-        last = symbols[rows - 1]
-        self.start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
-        self.head = last[self.start]
-        stop = np.append(self.start[1:], n)
-        self.stop = stop
-        self.first_at, self.last_at = rows[self.start], rows[stop - 1]
-        width = stop - self.start
-        order = np.argsort(self.head, kind="stable")
-        before = np.empty(len(order), np.int64)
-        before[order] = np.cumsum(width[order]) - width[order]
-        self.to = before  # where a run's first row goes: the runs of smaller symbols, then earlier runs of its own
-        self.by_symbol = order
-        self.symbol_key = self.head[order].astype(np.int64) * (len(order) + 1) + order
-        back = np.empty(n, np.int64)
-        back[rows] = np.arange(n)
-        self.end_row = back[ends]  # the rows of the terminators, from which the texts themselves can be streamed
+        # The transform, kept as runs: rows with one symbol before them, whose steps back lead to rows in sequence.
+        back = np.full(n, -1, np.int64)
+        back[rows] = np.arange(len(rows))
+        last, image = symbols[rows - 1], back[rows - 1]
+        self.start = np.flatnonzero(np.concatenate([[True], (last[1:] != last[:-1]) | (image[1:] != image[:-1] + 1)]))
+        self.head, self.to = last[self.start], image[self.start]
+        self.stop = np.append(self.start[1:], len(rows))
+        self.first_at, self.last_at = rows[self.start], rows[self.stop - 1]
+        self.by_symbol = np.argsort(self.head, kind="stable")
+        self.symbol_key = self.head[self.by_symbol].astype(np.int64) * (len(self.start) + 1) + self.by_symbol
+        # Sampled rows from which the texts themselves can be streamed: of their terminators, and of their last windows.
+        self.end_row = back[ends]
+        self.window_row = back[np.maximum(ends - length, 0)]
 
     @staticmethod
-    def _sorted(symbols: np.ndarray, depth: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Suffixes in order of their first ``depth`` symbols; ranks by their first h <= length symbols, and length - h."""
+    def _sorted(symbols: np.ndarray, depth: int, length: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Kept suffixes in order of their first ``depth`` symbols; ranks by the first h <= length symbols, and length - h.
+
+        Ties stay in text order, as the step from a row to the one before it needs."""
         n = len(symbols)
         bits = max(1, int(n).bit_length())
-        width = min(4, length)
-        padded = np.append(symbols, np.zeros(width, np.int16)).astype(np.uint64)
+        # Symbols are renumbered, so that the first key holds as many as 64 bits allow.
+        number = np.cumsum(np.bincount(symbols, minlength=1) > 0) - 1
+        each = max(1, int(number[-1]).bit_length())
+        width = max(1, min(length, (64 - bits) // each))
+        padded = np.append(number[symbols], np.zeros(width, np.int64)).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         for i in range(width):
-            key = (key << np.uint64(9)) | padded[i : i + n]
-        half, offset, key_bits = None, 0, 9 * width
-        index = np.arange(n, dtype=np.uint64)
-        while True:
-            # Ties stay in text order, as the step from a row to the one before it needs.
+            key = (key << np.uint64(each)) | padded[i : i + n]
+        half, offset, key_bits = None, 0, each * width
+
+        def order(key: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if key_bits + bits <= 64:
-                packed = np.sort((key << np.uint64(bits)) | index)
-                rows = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-                ordered = packed >> np.uint64(bits)
-            else:
-                rows = np.argsort(key, kind="stable")
-                ordered = key[rows]
-            new = np.concatenate([[False], ordered[1:] != ordered[:-1]])
+                packed = np.sort((key << np.uint64(bits)) | index.astype(np.uint64))
+                return (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+            by = np.argsort(key, kind="stable")
+            return index[by], key[by]
+
+        everything = np.arange(n)
+        while True:
+            rows, ordered = order(key, everything)
             rank = np.empty(n, np.int64)
-            rank[rows] = np.cumsum(new)
+            rank[rows] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
             if width <= length:
                 half, offset = rank, length - width
-            if width >= depth and 2 * (length - offset) >= length:
-                return rows, half, offset
-            ahead = np.append(rank[width:], np.full(min(width, n), -1, np.int64))[:n] + 1
-            key = (rank.astype(np.uint64) << np.uint64(bits)) | ahead.astype(np.uint64)
-            key_bits = 2 * bits
+            ahead = np.zeros(n, np.int64)
+            ahead[: max(n - width, 0)] = rank[width:] + 1
+            key, key_bits = (rank.astype(np.uint64) << np.uint64(bits)) | ahead.astype(np.uint64), 2 * bits
             width *= 2
+            if width >= depth and width > length:
+                return order(key[kept], kept)[0], half, offset
 
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols two positions share, up to ``most`` for each."""
@@ -95,11 +102,16 @@ class RunLengthIndex:
             alive = alive[most[alive] > k]
         return out
 
-    def stream(self, patterns: list[bytes], rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def own_windows(self, texts: list[bytes]) -> np.ndarray:
+        """The least owner of each window of the index's own texts, streamed from their last windows (-1 beyond them)."""
+        return self.stream(texts, self.window_row, self.length)[1]
+
+    def stream(self, patterns: list[bytes], rows: np.ndarray | None = None, matched: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: for each pattern and place the length of the match that starts there, and the least owner of
         its first ``length`` symbols (-1 where the match is shorter).  One row a pattern, aligned left.
 
-        ``rows``: where to begin, such as a text's own ``end_row``; else from any row with an empty match.
+        ``rows``: where to begin, such as a text's own ``end_row``, and how many symbols of each pattern's end that row has
+        ``matched``; else from any row with an empty match.
         """
         m = len(patterns)
         sizes = np.array([len(p) for p in patterns], np.int64)
@@ -109,13 +121,16 @@ class RunLengthIndex:
         lengths = np.zeros((m, widest), np.int64)
         owner = np.full((m, widest), -1, np.int64)
         row = np.zeros(m, np.int64) if rows is None else rows.copy()
-        run = np.searchsorted(self.start, row, "right") - 1
-        at = np.where(row == self.start[run], self.first_at[run], -1) if rows is None else self.ends.copy()
-        if rows is None:
-            at[:] = self.first_at[0]
-        size = np.zeros(m, np.int64)
+        at = np.full(m, self.first_at[0]) if rows is None else self.ends - matched
+        size = np.full(m, matched, np.int64)
+        if matched >= self.length:
+            everyone = np.arange(m)
+            lengths[everyone, sizes - matched] = matched
+            owner[everyone, sizes - matched] = self.class_owner[np.searchsorted(self.class_start, row, "right") - 1]
+        if self.own_only and not matched:
+            raise ValueError("this index has the rows of its own windows only")
         r = len(self.start)
-        for k in range(widest):
+        for k in range(matched, widest):
             live = np.flatnonzero(sizes > k)
             place = sizes[live] - 1 - k
             symbol = flat[begins[live] + place].astype(np.int64) + 1

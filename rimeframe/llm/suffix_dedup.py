@@ -24,18 +24,37 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices
 from ._store import Store
-from ._windows import mixed, runs, window_hashes
+from ._windows import runs
 from .run_length_index import RunLengthIndex
 
 WINDOW, GRAM = 50, 16
-INDEX_BYTES = 1 << 20
-
-_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Texts of one index, and of one pass over windows: small enough for a core's cache.
+INDEX_BYTES, SLICE = 1 << 16, 1 << 17
+#: A shard of more bytes is cut, and all its segments are streamed through each part.
+CUT_BYTES = 1 << 20
+
+
+def grams(text: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM (16) bytes from each place, of an array of bytes: two words of eight, mixed."""
+    n = len(text)
+    if n < GRAM:
+        return np.empty(0, np.uint64)
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
+    word = np.empty(n, np.uint64)
+    for k in range(8):
+        word[k::8] = padded[k : k + 8 * len(range(k, n, 8))].view(np.uint64)
+    out = word[: n - 15] * np.uint64(0x9E3779B97F4A7C15)
+    out += word[8 : n - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x7FB5D329728EA185)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def _bytes(part: pa.RecordBatch) -> list[bytes]:
@@ -52,20 +71,20 @@ class Run:
         ends = np.cumsum(counts)
         self.doc_start = ends - counts
         n = len(self.joined)
-        grams = window_hashes(_VALUES[np.frombuffer(self.joined, np.uint8)], GRAM)
+        hashes = grams(np.frombuffer(self.joined, np.uint8))
         width = WINDOW - GRAM + 1
-        if len(grams) < width:
+        if len(hashes) < width:
             self.row = self.first = self.last = np.empty(0, np.int64)
             self.minimizer = np.empty(0, np.uint64)
             return
         bits = np.uint64(n.bit_length())
-        key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        key = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
         while 2 * span <= width:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
         if span < width:
-            key = np.minimum(key[: len(grams) - width + 1], key[width - span : width - span + len(grams) - width + 1])
+            key = np.minimum(key[: len(hashes) - width + 1], key[width - span : width - span + len(hashes) - width + 1])
         at = (key & np.uint64((1 << int(bits)) - 1)).astype(np.int64)  # the minimizer's place, by the window's
         row = np.repeat(np.arange(len(counts)), counts)
         valid = np.flatnonzero(ends[row[: len(at)]] - np.arange(len(at)) >= WINDOW)
@@ -75,7 +94,7 @@ class Run:
         self.first = valid[new]
         self.last = valid[np.append(np.flatnonzero(new)[1:] - 1, len(valid) - 1)] if len(valid) else valid
         self.row = row[new]
-        self.minimizer = grams[at[new]]
+        self.minimizer = hashes[at[new]]
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -94,52 +113,65 @@ def _profile(batches):
         )
 
 
-def _minimizers(batches):
-    for part in slices(batches):
+def _distinct_minimizers(batches):
+    """The documents of each slice, and rows and values of their distinct minimizers."""
+    for part in slices(batches, limit=SLICE):
         run = Run(part)
         order = np.lexsort((run.minimizer, run.row))
         row, value = run.row[order], run.minimizer[order]
         new = np.ones(len(order), bool)
         new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        yield _batch(doc_id=pa.array(_ids(part)[row[new]]), minimizer=pa.array(value[new].view(np.int64)))
+        yield part, row[new], value[new].view(np.int64)
+
+
+def _minimizers(batches):
+    for part, row, value in _distinct_minimizers(batches):
+        yield _batch(doc_id=pa.array(_ids(part)[row]), minimizer=pa.array(value))
+
+
+def _minimizer_values(batches):
+    for _, _, value in _distinct_minimizers(batches):
+        yield _batch(minimizer=pa.array(value))
+
+
+def _pieces(joined: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary array of the pieces of a byte array that begin at ``first``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], sizes)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(joined[at])])
 
 
 def _segments(batches):
-    """Segments with a shared minimizer: one row for each distinct one of a document, with the places where it starts."""
-    for part in slices(batches):
+    """Segments with a shared minimizer and the byte where each starts."""
+    for part in slices(batches, limit=SLICE):
         run = Run(part)
-        ids = _ids(part)
         hits = part.column("minimizers")
         offsets, values = hits.offsets.to_numpy(), hits.values.to_numpy(zero_copy_only=False)
         own = np.searchsorted(run.row, np.arange(len(run.texts) + 1))
-        docs, shards, segments, starts = [], [], [], []
+        minimizer = run.minimizer.view(np.int64)
+        shared = np.zeros(len(minimizer), bool)
         for i in range(len(run.texts)):
             a, b = int(own[i]), int(own[i + 1])
-            shared = np.flatnonzero(np.isin(run.minimizer[a:b].view(np.int64), values[offsets[i] : offsets[i + 1]])) + a
-            found: dict[tuple[int, bytes], list[int]] = {}
-            base = int(run.doc_start[i])
-            for shard, first, last in zip(run.minimizer[shared].view(np.int64).tolist(), run.first[shared].tolist(), run.last[shared].tolist()):
-                found.setdefault((shard, run.joined[first : last + WINDOW]), []).append(first - base)
-            docs += [int(ids[i])] * len(found)
-            shards += [k[0] for k in found]
-            segments += [k[1] for k in found]
-            starts += found.values()
-        yield _batch(shard=pa.array(shards, pa.int64()), doc_id=pa.array(docs, pa.int64()), segment=pa.array(segments, pa.binary()), starts=pa.array(starts, pa.list_(pa.int32())))
-
-
-def _least(texts: list[bytes], owners: np.ndarray, limit: int = INDEX_BYTES) -> np.ndarray:
+            shared[a:b] = np.isin(minimizer[a:b], values[offsets[i] : offsets[i + 1]])
+        first, row = run.first[shared], run.row[shared]
+        yield _batch(
+            shard=pa.array(minimizer[shared]), doc_id=pa.array(_ids(part)[row]), segment=_pieces(np.frombuffer(run.joined, np.uint8), first, run.last[shared] - first + WINDOW),
+            start=pa.array((first - run.doc_start[row]).astype(np.int32)),
+        )
+
+
+def _least(texts: list[bytes], owners: np.ndarray, limit: int = CUT_BYTES) -> np.ndarray:
     """For each text and place the least owner of the 50 bytes from there, over all these texts; -1 beyond the end."""
     sizes = np.array([len(t) for t in texts], np.int64)
     part = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
     if len(cuts) == 2:
-        index = RunLengthIndex(texts, owners, WINDOW)
-        return index.stream(texts, index.end_row)[1]
+        return RunLengthIndex(texts, owners, WINDOW, own_only=True).own_windows(texts)
     out = None
     for a, b in zip(cuts, cuts[1:]):
         index = RunLengthIndex(texts[a:b], owners[a:b], WINDOW)
         for c, d in zip(cuts, cuts[1:]):
-            got = index.stream(texts[c:d], index.end_row if a == c else None)[1]
+            got = index.own_windows(texts[c:d]) if a == c else index.stream(texts[c:d])[1]
             if out is None:
                 out = np.full((len(texts), int(sizes.max())), -1, np.int64)
             old = out[c:d, : got.shape[1]]
@@ -147,48 +179,85 @@ def _least(texts: list[bytes], owners: np.ndarray, limit: int = INDEX_BYTES) ->
     return out
 
 
-def _owners(batches):
-    """Rows (shard, segment, first, last) in order of shard: the least owner at each place, where some is below ``last``."""
-    held: list[tuple] = []
-
-    def flush(rows: list[tuple]):
-        segments = [r[1] for r in rows]
-        owner = _least(segments, np.array([r[2] for r in rows], np.int64))
-        windows = np.array([len(s) - WINDOW + 1 for s in segments])
-        last = np.array([r[3] for r in rows])
-        wide = int(windows.max())
-        inside = np.arange(wide)[None, :] < windows[:, None]
-        useful = np.flatnonzero((inside & (owner[:, :wide] < last[:, None])).any(axis=1))
-        return _batch(
-            shard=pa.array([rows[i][0] for i in useful], pa.int64()), segment=pa.array([segments[i] for i in useful], pa.binary()),
-            owners=pa.array([owner[i, : windows[i]] for i in useful], pa.list_(pa.int64())),
-        )
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
 
-    size, shard = 0, None
+def _indexed(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of whole shards, through one index: the least owner at each place, where some is below ``last``."""
+    segments = part.column("segment").to_pylist()
+    owner = _least(segments, part.column("first").to_numpy())
+    windows = np.array([len(s) for s in segments]) - WINDOW + 1
+    wide = int(windows.max())
+    owner, inside = owner[:, :wide], np.arange(wide)[None, :] < windows[:, None]
+    useful = (inside & (owner < part.column("last").to_numpy()[:, None])).any(axis=1)
+    rows = pa.array(np.flatnonzero(useful))
+    return _batch(shard=part.column("shard").take(rows), segment=part.column("segment").take(rows), owners=_lists(owner[inside & useful[:, None]], windows[useful]))
+
+
+def _owners(batches):
+    """Rows (shard, segment, first, last) in order of shard, as (shard, segment, owners)."""
+
+    def done(rows: pa.RecordBatch):
+        shard = rows.column("shard").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+        group = np.diff(cuts)
+        # A segment alone in its shard shares no window with another one and needs no index.
+        alone = cuts[:-1][group == 1]
+        first, last = rows.column("first").to_numpy(), rows.column("last").to_numpy()
+        alone = alone[first[alone] < last[alone]]
+        sizes = pc.binary_length(rows.column("segment")).to_numpy()
+        windows = sizes[alone] - WINDOW + 1
+        at = pa.array(alone)
+        yield _batch(shard=rows.column("shard").take(at), segment=rows.column("segment").take(at), owners=_lists(np.repeat(first[alone], windows), windows))
+        many = np.repeat(group > 1, group)
+        rows, sizes, shard = rows.filter(pa.array(many)), sizes[many], shard[many]
+        if not len(shard):
+            return
+        # Whole shards together, to about INDEX_BYTES for each index.
+        ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
+        total = np.cumsum(sizes)[ends - 1]
+        start = 0
+        while start < len(shard):
+            before = int(total[np.searchsorted(ends, start, "right") - 1]) if start else 0
+            k = max(np.searchsorted(total, before + INDEX_BYTES, "right") - 1, np.searchsorted(ends, start, "right"))
+            yield _indexed(rows.slice(start, int(ends[k]) - start))
+            start = int(ends[k])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "segment", "first", "last"))):
-            if row[0] != shard and size >= INDEX_BYTES // 2:
-                yield flush(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[1])
-            shard = row[0]
+        if not batch.num_rows:
+            continue
+        shard = batch.column("shard").to_numpy()
+        border = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
+        if border or held and held[-1].column("shard")[-1].as_py() != shard[0]:
+            held.append(batch.slice(0, border))
+            whole = pa.concat_batches([h for h in held if h.num_rows] or [batch.slice(0, 0)])
+            if whole.num_rows:
+                yield from done(whole)
+            held = []
+        held.append(batch.slice(border))
     if held:
-        yield flush(held)
+        yield from done(pa.concat_batches(held))
 
 
 def _marks(batches):
-    """Rows (doc_id, starts, owners): the byte ranges covered by windows that a smaller doc_id has."""
+    """Rows (doc_id, start, owners): the byte ranges covered by windows that a smaller doc_id has."""
     for batch in batches:
-        docs, begins, ends = [], [], []
-        for doc, starts, owners in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "starts", "owners"))):
-            low, high = runs(np.array(owners, np.int64) < doc)
-            for a, b in zip(low.tolist(), high.tolist()):
-                for s in starts:
-                    docs.append(doc)
-                    begins.append(s + a)
-                    ends.append(s + b - 1 + WINDOW)
-        yield _batch(doc_id=pa.array(docs, pa.int64()), begin=pa.array(begins, pa.int32()), end=pa.array(ends, pa.int32()))
+        owners = batch.column("owners")
+        doc, start = _ids(batch), batch.column("start").to_numpy()
+        counts = np.diff(owners.offsets.to_numpy())
+        values = owners.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(doc)), counts)
+        bad = values < doc[row]
+        border = np.zeros(len(values) + 1, bool)
+        border[np.cumsum(counts)] = border[0] = True
+        opens = np.flatnonzero(bad & (border[:-1] | ~np.append(False, bad[:-1])))
+        closes = np.flatnonzero(bad & (border[1:] | ~np.append(bad[1:], False))) + 1
+        which, first = row[opens], np.cumsum(counts) - counts
+        yield _batch(
+            doc_id=pa.array(doc[which]), begin=pa.array((start[which] + opens - first[which]).astype(np.int32)), end=pa.array((start[which] + closes - first[which] - 1 + WINDOW).astype(np.int32))
+        )
 
 
 def _removals(batches):
@@ -220,15 +289,16 @@ def find_repeats(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, D
     copies = store.keep(profile.join(owner, F.col("whole") == F.col("same")).where("doc_id > first").select("doc_id").distinct(), "copies")
     fresh = texts.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     minimizers = fresh.mapInArrow(_minimizers, "doc_id long, minimizer long")
-    shared = store.keep(minimizers.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "shared")
-    hits = store.keep(minimizers.join(shared, "minimizer", "left_semi").groupBy("doc_id").agg(F.collect_list("minimizer").alias("minimizers")), "hits")
+    values = fresh.select("text").mapInArrow(_minimizer_values, "minimizer long")
+    shared = store.keep(values.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "shared")
+    hits = store.keep(minimizers.join(shared.hint("shuffle_hash"), "minimizer", "left_semi").groupBy("doc_id").agg(F.collect_list("minimizer").alias("minimizers")), "hits")
     store.drop("shared")
-    segments = store.keep(texts.join(hits, "doc_id").mapInArrow(_segments, "shard long, doc_id long, segment binary, starts array<int>"), "segments")
+    segments = store.keep(texts.join(hits, "doc_id").mapInArrow(_segments, "shard long, doc_id long, segment binary, start int"), "segments")
     store.drop("hits")
     distinct = segments.groupBy("shard", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     dealt = distinct.repartition("shard").sortWithinPartitions("shard", "first")
     owners = store.keep(dealt.mapInArrow(_owners, "shard long, segment binary, owners array<long>"), "owners")
-    marks = segments.join(owners, ["shard", "segment"]).select("doc_id", "starts", "owners").mapInArrow(_marks, "doc_id long, begin int, end int")
+    marks = segments.join(owners.hint("shuffle_hash"), ["shard", "segment"]).select("doc_id", "start", "owners").mapInArrow(_marks, "doc_id long, begin int, end int")
     marks = store.keep(marks.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("marks")), "marks")
     store.drop("segments", "owners")
     changed = texts.join(marks, "doc_id").mapInArrow(_removals, "doc_id long, whole string, n_removed long, kept binary, spans array<struct<begin: long, end: long>>")
