@@ -29,6 +29,8 @@ from .components import components
 
 BITS = 64
 SEED = 42
+#: Parts are planned for at least so many fingerprints, so that a small input runs the plan of a large one.
+PLAN_FOR = 1_000_000
 #: Cost of one signature row against one pair that meets by chance, for the dynamic program.
 SIGNATURE_COST, PAIR_COST = 1.0, 0.02
 
@@ -100,9 +102,9 @@ def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
 
 def plan_parts(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
     """The parts (lists of bits) and their thresholds; -1 means that a part need not be probed."""
-    share = np.diag(both) / max(n, 1)
+    share, real, n = np.diag(both) / max(n, 1), max(n, 1), max(n, PLAN_FOR)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-9))
-    corr = np.abs(both / max(n, 1) - np.outer(share, share)) / np.outer(spread, spread)
+    corr = np.abs(both / real - np.outer(share, share)) / np.outer(spread, spread)
     np.fill_diagonal(corr, 0)
     differ = 2 * share * (1 - share)
 
@@ -162,8 +164,8 @@ def _probe(part: int, key: Column):
     return lambda flip: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flip).alias("key"))
 
 
-def links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, similarity: float | None = None) -> DataFrame:
-    """``a, b`` (ids, a < b) of nodes whose fingerprints differ in at most tau bits.
+def links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, similarity: float | None = None, beyond: int = -1) -> DataFrame:
+    """``a, b`` (ids, a < b) of nodes whose fingerprints differ in at most tau bits, and in more than ``beyond``.
 
     ``nodes`` has distinct ``id`` and ``fp``.  With ``similarity`` also ``class`` and ``size``: only pairs of two classes whose
     sizes allow that similarity.
@@ -186,8 +188,13 @@ def links(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, simila
     if similarity:
         low, high = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
         near = near & (left["a_class"] != right["b_class"]) & (low >= similarity * high)
-    near = near & (F.bit_count(left["a_fp"].bitwiseXOR(right["b_fp"])) <= tau)
-    return left.join(right, near).select("a", "b").distinct()
+    differ = left["a_fp"].bitwiseXOR(right["b_fp"])
+    near = near & F.bit_count(differ).between(beyond + 1, tau)
+    # A pair that meets in several parts counts in the first only.
+    for i, (bits, t) in enumerate(parts[:-1]):
+        mask = _signed(sum(1 << b for b in bits))
+        near = near & ((left["part"] <= i) | (F.bit_count(differ.bitwiseAND(F.lit(mask))) > t))
+    return left.join(right, near).select("a", "b")
 
 
 def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
@@ -208,7 +215,7 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
 
 
 #: Bits at which candidates are sought, one level after the other.
-LEVELS = (3, 6, 9)
+LEVELS = (3, 5, 7, 8)
 
 
 def _sketches(shingle: int, words: int):
@@ -250,14 +257,16 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     known = nodes.where("id IS NOT NULL")
     n, both = bit_counts(known)
     groups = known.select("id", F.col("id").alias("class"))
-    edges = None
+    edges, done = None, -1
     for level, tau in enumerate((0, *LEVELS) if n else ()):
         now = known.join(groups, "id")
         if not tau:  # equal fingerprints: each against the first
             first = known.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
             pairs = known.join(store.keep(first, "first"), "fp").where("a < id").select("a", F.col("id").alias("b"))
         else:
-            pairs = links(now, plan_parts(n, both, tau), tau, similarity)
+            # Nearer pairs of two groups have been verified before, and failed.
+            pairs = links(now, plan_parts(n, both, tau), tau, similarity, done)
+            done = tau
         pairs = store.keep(pairs, f"pairs{level}")
         ends = store.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ends{level}")
         sets = docs.select("doc_id", "text").join(ends, "doc_id").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"])
@@ -278,8 +287,9 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of ``near_groups``; all columns as they were."""
     groups = near_groups(docs, Store(docs.sparkSession, "near-copies"))
-    kept = groups.where("doc_id <=> root").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    store = Store(docs.sparkSession, "near-dropped")
+    gone = store.keep(groups.where("doc_id <> root").select("doc_id").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
