@@ -216,26 +216,100 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
 
 #: Bits at which candidates are sought, one level after the other.
 LEVELS = (3, 5, 7, 8)
+#: About so many documents are counted for frequent shingles: those of FEW documents or more, at most FREQUENT.
+COUNTED, FEW, FREQUENT = 20_000, 5, 50_000
+#: A prefix is longer by one shingle for each so many shingles of the set, and a pair has to meet as many times more.
+SPREAD = 50
+#: Longs of a set's parities.
+WORDS = 8
 
 
-def _sketches(shingle: int, words: int):
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many of the counted documents have, rarest first.  They stand last in the order of shingles, which
+    makes for fewer candidates; any order gives the same pairs."""
+    n = docs.count()
+    if n > COUNTED:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * COUNTED / n))
+
+    def run(batches):
+        for part in slices(batches):
+            for t in part.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], names=["h"])
+
+    counted = docs.select("doc_id", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FEW)
+    rows = counted.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    return np.array([r["h"] for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+def prefix(own: np.ndarray, last: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set ``own`` in the order of shingles: by hash, but those of ``last`` (sorted) at the end
+    by their rank.  The prefixes of two sets of at least that similarity share 1 + size // SPREAD shingles of the smaller."""
+    if not len(own):
+        return own
+    most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 + len(own) // SPREAD
+    if len(last):
+        at = np.minimum(np.searchsorted(last, own), len(last) - 1)
+        late = last[at] == own
+        own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
+    return own[:most]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls to each of 64 * WORDS bits; two sets differ in at least as many shingles as
+    their parities differ in bits."""
+    counts = np.bincount((own % np.uint64(BITS * WORDS)).astype(np.int64), minlength=BITS * WORDS)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
+_PARITIES = [f"parity{i}" for i in range(WORDS)]
+_SKETCH = "doc_id long, fp long, sig long, size long, prefix array<long>, " + ", ".join(f"{x} long" for x in _PARITIES)
+
+
+def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
+    rank = np.argsort(late)
+    last = late[rank]
+
     def run(batches):
         import xxhash
 
         for part in slices(batches):
-            fp, sig, size = [], [], []
+            fp, sig, size, first, odd = [], [], [], [], []
             for t in part.column("text").to_pylist():
                 own = np.unique(shingle_hashes(t, words))
                 fp.append(fingerprint(shingle_hashes(t, shingle)))
                 sig.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 size.append(len(own))
+                first.append(prefix(own, last, rank, similarity).view(np.int64))
+                odd.append(parities(own))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "fp", "sig", "size"]
+                [part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (fp, sig, size)), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T.copy())],
+                names=["doc_id", "fp", "sig", "size", "prefix", *_PARITIES],
             )
 
     return run
 
 
+def meetings(store: Store, nodes: DataFrame, similarity: float, beyond: int) -> DataFrame:
+    """``a, b`` (ids, a < b) of nodes of two classes: all that have at least that similarity and whose fingerprints differ in
+    more than ``beyond`` bits, and some that are less alike.
+
+    ``nodes`` has distinct ``id`` and what ``_sketches`` gives.  Two such sets share shingles of their prefixes, and their
+    parities differ in few bits; shingles in the prefixes of one class only are left out first.
+    """
+    each = nodes.select("id", "class", F.explode("prefix").alias("key"))
+    keys = store.keep(each.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "keys")
+    own = ["id", "fp", "class", "size", *_PARITIES]
+    rows = store.keep(each.select("id", "key").join(keys, "key").join(nodes.select(*own), "id"), "rows")
+    left, right = (rows.select("key", *[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in own]) for s in "ab")
+    low, high = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    near = (left["key"] == right["key"]) & (left["a"] < right["b"]) & (left["a_class"] != right["b_class"]) & (low >= similarity * high)
+    near = near & (F.bit_count(left["a_fp"].bitwiseXOR(right["b_fp"])) > beyond)
+    odd = sum((F.bit_count(left[f"a_{c}"].bitwiseXOR(right[f"b_{c}"])) for c in _PARITIES), F.lit(0))
+    near = near & (odd <= (1 - similarity) / (1 + similarity) * (left["a_size"] + right["b_size"]) + 1e-6)
+    met = left.join(right, near).select("a", "b", low.alias("low")).groupBy("a", "b", "low").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") > F.floor(F.col("low") / SPREAD)).select("a", "b")
+
+
 def _sets(words: int):
     def run(batches):
         for part in slices(batches):
@@ -249,18 +323,22 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     """``doc_id, root`` for every row of ``docs``: groups of documents linked by a Jaccard similarity of their sets of
     ``words``-word shingles of at least ``similarity``; root is the group's smallest doc_id.
 
-    Candidates are fingerprints within LEVELS[-1] bits.  The closest are sought and verified first; documents that are in one
-    group already are not compared again, so that a large group costs links, not pairs.  Equal sets are one node.
+    Candidates are fingerprints within LEVELS[-1] bits, then all pairs of ``meetings``, so that no pair is lost.  The closest
+    are sought and verified first; documents that are in one group already are not compared again, so that a large group
+    costs links, not pairs.  Equal sets are one node.
     """
-    prints = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, words), "doc_id long, fp long, sig long, size long"), "sketches")
-    nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "sets")
+    prints = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, words, similarity, frequent(docs, words)), _SKETCH), "sketches")
+    same = [F.min(c).alias(c) for c in ("fp", *_PARITIES)]
+    nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), *same, F.first("prefix").alias("prefix")), "sets")
     known = nodes.where("id IS NOT NULL")
     n, both = bit_counts(known)
     groups = known.select("id", F.col("id").alias("class"))
     edges, done = None, -1
-    for level, tau in enumerate((0, *LEVELS) if n else ()):
+    for level, tau in enumerate((0, *LEVELS, BITS) if n else ()):
         now = known.join(groups, "id")
-        if not tau:  # equal fingerprints: each against the first
+        if tau == BITS:
+            pairs = meetings(store, now, similarity, done)
+        elif not tau:  # equal fingerprints: each against the first
             first = known.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
             pairs = known.join(store.keep(first, "first"), "fp").where("a < id").select("a", F.col("id").alias("b"))
         else:

@@ -263,6 +263,28 @@ def test_near_copies_leave_one_of_each_group(spark, corpus):
     assert caught >= 0.8
 
 
+def test_no_near_copy_stays(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in ("an", "el", "ir", "ot", "um")]
+    texts = {}
+    for i in range(240):  # isolated pairs, and some chains of three
+        w = rng.choices(words, k=rng.choice((9, 30, 100, 150, 400, 1500)))
+        for j in range(2 + (i % 10 == 0)):
+            texts[1000 * j + i] = " ".join(w)
+            for _ in range(max(1, len(w) // 50)):
+                w[rng.randrange(len(w))] = "changed"
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t, 3)) for i, t in texts.items()}
+    alike = [(a, b) for a in texts for b in texts if a < b and a % 1000 == b % 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count() > simhash.LEVELS[-1] for a, b in alike) >= 10
+    root = {i: i for i in texts}
+    for _ in range(3):
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root.values()))
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
     rng = random.Random(8)
