@@ -3,12 +3,12 @@
 Trusted positives are labelled 1; everything else is web text whose label is not looked at.  A small network minimises the
 non-negative unbiased risk ``pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])`` with the logistic loss; where the second
 term falls below zero, the step goes against it instead.  The class prior pi is estimated first: a logistic regression
-tells positives from web text on one half of the sample, and on the other half the least ratio of both shares above a
-threshold is an upper bound of pi that is reached where there are no negatives.
+tells positives from web text on one half of the rows, and on the other half the least ratio of both shares above a
+threshold is an upper bound of pi that is reached where there are no negatives; the halves then change places.
 
-Scores depend on the text alone: on counts of words, lines, repeats, symbols, capitals and punctuation.  Fitting uses at most
-about SAMPLE positives and SAMPLE web texts, drawn by the hash of the doc_id, of rows whose crc32(doc_id) mod 3 is not 1;
-scoring covers every row.
+Scores depend on the text alone: on counts of words, lines, repeats, symbols, capitals and punctuation.  Only rows whose
+crc32(doc_id) mod 3 is not 1 are learnt from.  Of these, means, deviations and the shares behind the prior cover all rows;
+gradients use at most about SAMPLE positives and SAMPLE web texts, drawn by the hash of the doc_id.  Scoring covers every row.
 
 Edge cases: a null text scores like the empty one; without positives or web text to learn from every score is the prior
 0.5; rows repeated with one doc_id get equal scores; a row without doc_id is scored, not learnt from and not held out; other
@@ -34,6 +34,8 @@ _WS = " \t\n\x0b\x0c\r"
 _WORD = re.compile(f"[^{_WS}]+")
 _UPPER, _LOWER, _DIGIT = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile("[a-zß-öø-ÿ]"), re.compile("[0-9]")
 N_FEATURES = 20
+#: Moments are added up in steps of 1 / UNIT, so that they don't depend on the order; scores are counted in so many bins.
+UNIT, BINS = 1 << 20, 4096
 
 
 def features(text: str | None) -> list[float]:
@@ -93,30 +95,57 @@ def _standard(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.mean(0), both.std(0) + 1e-6
 
 
-def estimate_prior(pos: np.ndarray, web: np.ndarray, steps: int = 300) -> float:
-    """The share of positives in ``web``."""
-    mean, std = _standard(pos, web)
-    pos, web = np.clip((pos - mean) / std, -8, 8), np.clip((web - mean) / std, -8, 8)
+def _scaled(x: np.ndarray, standard: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.clip((x - standard[0]) / standard[1], -8, 8)
+
+
+def direction(pos: np.ndarray, web: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Weights of a logistic regression that tells scaled positives from scaled web text."""
     w, b = np.zeros(pos.shape[1]), 0.0
-    fit_p, fit_u, see_p, see_u = pos[::2], web[::2], pos[1::2], web[1::2]
-    if min(len(see_p), len(see_u)) < 2:
-        return 0.5
     for _ in range(steps):
-        gp, gu = _sigmoid(fit_p @ w + b) - 1, _sigmoid(fit_u @ w + b)
-        w -= 0.3 * (fit_p.T @ gp / len(fit_p) + fit_u.T @ gu / len(fit_u) + 1e-3 * w)
+        gp, gu = _sigmoid(pos @ w + b) - 1, _sigmoid(web @ w + b)
+        w -= 0.3 * (pos.T @ gp / len(pos) + web.T @ gu / len(web) + 1e-3 * w)
         b -= 0.3 * (gp.mean() + gu.mean())
-    sp, su = np.sort(see_p @ w), np.sort(see_u @ w)
-    levels = np.quantile(sp, np.linspace(0.0, 0.7, 71))
-    share_p = 1 - np.searchsorted(sp, levels, "left") / len(sp)
-    share_u = 1 - np.searchsorted(su, levels, "left") / len(su)
-    return float(np.clip((share_u / np.maximum(share_p, 1e-9)).min(), 0.02, 0.98))
+    return w
+
+
+def bins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How many scaled rows score in each of BINS equal parts of all possible scores."""
+    most = 8 * np.abs(w).sum() + 1e-9
+    at = np.clip(((x @ w + most) * (BINS / (2 * most))).astype(np.int64), 0, BINS - 1)
+    return np.bincount(at, minlength=BINS)
+
+
+def least_ratio(pos: np.ndarray, web: np.ndarray) -> float | None:
+    """The least ratio of the shares of ``web`` and ``pos`` (counts by bin) from a bin on, at quantiles of ``pos``."""
+    if min(pos.sum(), web.sum()) < 2:
+        return None
+    below = np.cumsum(pos) / pos.sum()
+    levels = np.searchsorted(below, np.linspace(0.0, 0.7, 71), "right")
+    share_p, share_u = (np.cumsum(c[::-1])[::-1][levels] / c.sum() for c in (pos, web))
+    return float((share_u / np.maximum(share_p, 1e-9)).min())
+
+
+def _prior(ratios: list[float | None]) -> float:
+    known = [r for r in ratios if r is not None]
+    return float(np.clip(np.mean(known), 0.02, 0.98)) if known else 0.5
+
+
+def estimate_prior(pos: np.ndarray, web: np.ndarray, steps: int = 300) -> float:
+    """The share of positives in ``web``."""
+    standard = _standard(pos, web)
+    pos, web = _scaled(pos, standard), _scaled(web, standard)
+    if min(len(pos), len(web)) < 4:
+        return 0.5
+    ways = [direction(pos[k::2], web[k::2], steps) for k in range(2)]
+    return _prior([least_ratio(bins(pos[1 - k :: 2], w), bins(web[1 - k :: 2], w)) for k, w in enumerate(ways)])
 
 
-def fit(pos: np.ndarray, web: np.ndarray, prior: float | None = None) -> dict:
+def fit(pos: np.ndarray, web: np.ndarray, prior: float | None = None, standard: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
     """The network that minimises the non-negative risk (full batches, Adam)."""
     prior = estimate_prior(pos, web) if prior is None else prior
-    mean, std = _standard(pos, web)
-    pos, web = np.clip((pos - mean) / std, -8, 8), np.clip((web - mean) / std, -8, 8)
+    mean, std = _standard(pos, web) if standard is None else standard
+    pos, web = _scaled(pos, (mean, std)), _scaled(web, (mean, std))
     rng = np.random.default_rng(SEED)
     d = pos.shape[1]
     params = [rng.normal(0, 0.3, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
@@ -150,33 +179,79 @@ def fit(pos: np.ndarray, web: np.ndarray, prior: float | None = None) -> dict:
 
 
 def apply(model: dict, x: np.ndarray) -> np.ndarray:
-    x = np.clip((x - model["mean"]) / model["std"], -8, 8)
+    x = _scaled(x, (model["mean"], model["std"]))
     a, b, c, d = model["params"]
     return _sigmoid(np.tanh(x @ a + b) @ c + d)
 
 
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
+def _added(rows: DataFrame, count, size: int) -> np.ndarray:
+    """The sum over all batches of ``rows`` of an array of ``size`` whole numbers."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                c = count(batch)
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["i", "c"])
+
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
+        out[r["i"]] = r["c"]
+    return out
+
+
+def moments(rows: DataFrame) -> np.ndarray:
+    """The number of ``rows``, and the sums of their features and of the squares, in steps of 1 / UNIT."""
+
+    def count(batch):
+        x = _rows(batch)
+        return np.concatenate([[len(x)], np.rint(x * UNIT).astype(np.int64).sum(0), np.rint(x * x * UNIT).astype(np.int64).sum(0)])
+
+    return _added(rows.select("x"), count, 1 + 2 * N_FEATURES)
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; ``labels`` has doc_id and quality."""
     store = Store(docs.sparkSession, "quality")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     known = store.keep(with_features(docs), "features")
-    learn = known.where(rest != 1)
+    learn = known.where(rest != 1).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)))
+    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    groups = (store.keep(learn.join(trusted, "doc_id", "left_semi"), "trusted"), learn)
+    sums = [moments(rows) for rows in groups]
 
-    def sampled(rows: DataFrame) -> np.ndarray:
-        n = rows.count()
+    def sampled(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > SAMPLE:
             rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-        got = np.array([r["x"] for r in rows.collect()], float).reshape(-1, N_FEATURES)
-        return got[np.lexsort(got.T)] if len(got) else got
+        got = np.array([[*r["x"], r["half"]] for r in rows.collect()], float).reshape(-1, N_FEATURES + 1)
+        got = rng.permutation(got[np.lexsort(got.T)] if len(got) else got)
+        return got[:, :-1], got[:, -1]
 
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
     rng = np.random.default_rng(SEED)
-    pos, web = (rng.permutation(s) for s in (sampled(learn.join(trusted, "doc_id", "left_semi")), sampled(learn)))
-    model = fit(pos, web) if len(pos) > 1 and len(web) > 1 else None
+    (pos, pos_half), (web, web_half) = (sampled(rows, int(c[0])) for rows, c in zip(groups, sums))
+    model = None
+    if len(pos) > 1 and len(web) > 1:
+        n, first, second = (x.astype(float) for x in np.split(sums[0] + sums[1], [1, 1 + N_FEATURES]))
+        mean = first / UNIT / n
+        standard = mean, np.sqrt(np.maximum(second / UNIT / n - mean * mean, 0)) + 1e-6
+        p, u = _scaled(pos, standard), _scaled(web, standard)
+        # ways[k] comes from half 1 - k, and half k is counted by it
+        ways = [direction(p[pos_half != k], u[web_half != k]) if (pos_half != k).any() and (web_half != k).any() else None for k in range(2)]
+
+        def count(batch):
+            x, half = _scaled(_rows(batch), standard), batch.column("half").to_numpy()
+            return np.concatenate([np.zeros(BINS, np.int64) if w is None else bins(x[half == k], w) for k, w in enumerate(ways)])
+
+        counts = [_added(rows.select("x", "half"), count, 2 * BINS).reshape(2, BINS) for rows in groups]
+        model = fit(pos, web, _prior([least_ratio(counts[0][k], counts[1][k]) for k in range(2)]), standard)
 
     def run(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+            x = _rows(batch)
             p = apply(model, x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 

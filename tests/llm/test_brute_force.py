@@ -343,6 +343,23 @@ def test_classifier_on_held_out_rows(spark):
     assert len(held) > 200 and np.mean([a == b for a, b in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_corpus_statistics_cover_all_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["sun", "Moon", "river.", "9", "a | b"]) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1500)], "doc_id long, quality int")
+    models, counted = [], []
+    fit, least = quality_classifier.fit, quality_classifier.least_ratio
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 100)
+    monkeypatch.setattr(quality_classifier, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    monkeypatch.setattr(quality_classifier, "least_ratio", lambda p, u: counted.append((p.sum(), u.sum())) or least(p, u))
+    held = {r.doc_id for r in quality_classifier.score(docs, labels).collect() if r.held_out}
+    x = {i: quality_classifier.features(t) for i, t in enumerate(texts) if i not in held}
+    both = np.array([*x.values(), *(v for i, v in x.items() if i % 2)])
+    assert np.allclose(models[0]["mean"], both.mean(0), atol=1e-5) and np.allclose(models[0]["std"], both.std(0), atol=1e-3)
+    assert np.sum(counted, 0).tolist() == [sum(i % 2 for i in x), len(x)]
+
+
 def test_prior():
     rng = np.random.default_rng(11)
     pos = rng.normal(0, 1, (4000, 3))
