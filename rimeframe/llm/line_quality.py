@@ -134,7 +134,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without rejected documents, their texts without failing lines; the columns as they were.
 
     The rules run inside one pass over the rows, so no join brings verdict and document together.  A column n_chars is
-    set to the length of the cleaned text.  Rows without doc_id are no documents here and go.
+    set to the length of the cleaned text.  Rows without doc_id are judged like any other.
     """
     names = docs.columns
     kind = docs.schema
@@ -142,7 +142,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             judged = [judge(t) for t in part.column("text").to_pylist()]
-            keep = [i for i, (j, d) in enumerate(zip(judged, part.column("doc_id").to_pylist())) if j[8] and d is not None]
+            keep = [i for i, j in enumerate(judged) if j[8]]
             if not keep:
                 continue
             rows = part.take(pa.array(keep, pa.int64()))

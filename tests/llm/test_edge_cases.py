@@ -72,6 +72,18 @@ def test_pipeline_stages(spark, tables, table):
         assert not rows
 
 
+def test_clean_rows_without_id_pass_the_pipeline(spark, tables):
+    texts = ["The quick brown fox jumps over the lazy dog near the old river bank today.", "Seven tall ships sailed past the quiet harbour while the grey gulls cried above them."]
+    rows = [(None, texts[0], "en", "a", 1), (None, "one two", "en", "a", 7), (None, texts[1], "en", "a", 1), (20, PASSAGE + ".", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, tables["plain"]).collect(), SCHEMA)
+        assert sorted(r.text for r in docs.collect() if r.doc_id is None) == sorted(texts), name
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, tables["plain"])
+    docs.collect()
+
+
 def test_pipeline_run(spark, tables):
     got = corpus_pipeline.run(spark, tables["plain"])
     assert got.columns == ["doc_id", "n_tokens", "ids"]
