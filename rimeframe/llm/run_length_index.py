@@ -12,22 +12,30 @@ from __future__ import annotations
 import numpy as np
 
 
+def words_at(joined: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of an array of bytes as one number, zeros behind the end."""
+    n = len(joined)
+    padded = np.concatenate([joined, np.zeros(16, np.uint8)])
+    word = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        word[k::8] = padded[k : k + 8 * len(range(k, n, 8))].view(np.uint64)
+    return word
+
+
 class RunLengthIndex:
-    """``own_only``: keep the rows of whole windows only.  Such an index is a quarter of the size; the texts themselves can be
-    streamed through it (``own_windows``), other patterns cannot."""
+    """``jumps`` counts how often a pattern's match broke off and went on at a sampled run end."""
 
-    def __init__(self, texts: list[bytes], owners: np.ndarray, length: int, own_only: bool = False):
+    def __init__(self, texts: list[bytes], owners: np.ndarray, length: int):
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum(sizes + 1) - 1
         symbols = joined.astype(np.int16) + 1
         symbols[ends] = 0
         n = len(symbols)
-        self.length, self.symbols, self.ends, self.own_only = length, symbols, ends, own_only
-        kept = np.arange(n)
-        if own_only:
-            kept = kept[np.repeat(ends, sizes + 1) - kept >= length]
-        rows, half, offset = self._sorted(symbols, int(sizes.max(initial=0)) + 1, length, kept)
+        self.length, self.jumps = length, 0
+        self.word = words_at(joined)
+        self.rest = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols up to the text's end
+        rows, half, offset = self._sorted(symbols, int(sizes.max(initial=0)) + 1, length)
         # Rows whose first ``length`` symbols agree form a class; a class has a least owner.
         tail = np.append(half, np.full(offset, -1, half.dtype))
         a, b = half[rows], tail[rows + offset]
@@ -35,22 +43,19 @@ class RunLengthIndex:
         owner = np.repeat(owners, sizes + 1)
         self.class_owner = np.minimum.reduceat(owner[rows], self.class_start)
         # The transform, kept as runs: rows with one symbol before them, whose steps back lead to rows in sequence.
-        back = np.full(n, -1, np.int64)
-        back[rows] = np.arange(len(rows))
+        back = np.empty(n, np.int64)
+        back[rows] = np.arange(n)
         last, image = symbols[rows - 1], back[rows - 1]
         self.start = np.flatnonzero(np.concatenate([[True], (last[1:] != last[:-1]) | (image[1:] != image[:-1] + 1)]))
         self.head, self.to = last[self.start], image[self.start]
-        self.stop = np.append(self.start[1:], len(rows))
+        self.stop = np.append(self.start[1:], n)
         self.first_at, self.last_at = rows[self.start], rows[self.stop - 1]
         self.by_symbol = np.argsort(self.head, kind="stable")
         self.symbol_key = self.head[self.by_symbol].astype(np.int64) * (len(self.start) + 1) + self.by_symbol
-        # Sampled rows from which the texts themselves can be streamed: of their terminators, and of their last windows.
-        self.end_row = back[ends]
-        self.window_row = back[np.maximum(ends - length, 0)]
 
     @staticmethod
-    def _sorted(symbols: np.ndarray, depth: int, length: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Kept suffixes in order of their first ``depth`` symbols; ranks by the first h <= length symbols, and length - h.
+    def _sorted(symbols: np.ndarray, depth: int, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Suffixes in order of their first ``depth`` symbols; ranks by the first h <= length symbols, and length - h.
 
         Ties stay in text order, as the step from a row to the one before it needs."""
         n = len(symbols)
@@ -64,55 +69,41 @@ class RunLengthIndex:
         for i in range(width):
             key = (key << np.uint64(each)) | padded[i : i + n]
         half, offset, key_bits = None, 0, each * width
-
-        def order(key: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if key_bits + bits <= 64:
-                packed = np.sort((key << np.uint64(bits)) | index.astype(np.uint64))
-                return (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
-            by = np.argsort(key, kind="stable")
-            return index[by], key[by]
-
-        everything = np.arange(n)
+        everything = np.arange(n, dtype=np.uint64)
         while True:
-            rows, ordered = order(key, everything)
+            if key_bits + bits <= 64:
+                packed = np.sort((key << np.uint64(bits)) | everything)
+                rows, ordered = (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+            else:
+                rows = np.argsort(key, kind="stable")
+                ordered = key[rows]
             rank = np.empty(n, np.int64)
             rank[rows] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
             if width <= length:
                 half, offset = rank, length - width
+            if width >= depth and width >= length:
+                return rows, half, offset
             ahead = np.zeros(n, np.int64)
             ahead[: max(n - width, 0)] = rank[width:] + 1
             key, key_bits = (rank.astype(np.uint64) << np.uint64(bits)) | ahead.astype(np.uint64), 2 * bits
             width *= 2
-            if width >= depth and width > length:
-                return order(key[kept], kept)[0], half, offset
 
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols two positions share, up to ``most`` for each."""
+        """How many symbols two positions share, up to ``most`` for each: eight at a time."""
+        most = np.minimum(most, np.minimum(self.rest[a], self.rest[b]))
         out = np.zeros(len(a), np.int64)
-        alive = np.flatnonzero(most > 0)
-        k, n = 0, len(self.symbols)
+        alive, k = np.flatnonzero(most > 0), 0
         while len(alive):
-            pa, pb = a[alive] + k, b[alive] + k
-            ok = (pa < n) & (pb < n)
-            alive, pa, pb = alive[ok], pa[ok], pb[ok]
-            same = (self.symbols[pa] == self.symbols[pb]) & (self.symbols[pa] > 0)
-            alive = alive[same]
-            k += 1
-            out[alive] = k
-            alive = alive[most[alive] > k]
-        return out
+            x = self.word[a[alive] + k] ^ self.word[b[alive] + k]
+            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3  # bytes below the first that differs
+            out[alive] += same
+            k += 8
+            alive = alive[(same == 8) & (most[alive] > k)]
+        return np.minimum(out, most)
 
-    def own_windows(self, texts: list[bytes]) -> np.ndarray:
-        """The least owner of each window of the index's own texts, streamed from their last windows (-1 beyond them)."""
-        return self.stream(texts, self.window_row, self.length)[1]
-
-    def stream(self, patterns: list[bytes], rows: np.ndarray | None = None, matched: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def stream(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: for each pattern and place the length of the match that starts there, and the least owner of
-        its first ``length`` symbols (-1 where the match is shorter).  One row a pattern, aligned left.
-
-        ``rows``: where to begin, such as a text's own ``end_row``, and how many symbols of each pattern's end that row has
-        ``matched``; else from any row with an empty match.
-        """
+        its first ``length`` symbols (-1 where the match is shorter).  One row a pattern, aligned left."""
         m = len(patterns)
         sizes = np.array([len(p) for p in patterns], np.int64)
         widest = int(sizes.max(initial=0))
@@ -120,17 +111,10 @@ class RunLengthIndex:
         begins = np.cumsum(sizes) - sizes
         lengths = np.zeros((m, widest), np.int64)
         owner = np.full((m, widest), -1, np.int64)
-        row = np.zeros(m, np.int64) if rows is None else rows.copy()
-        at = np.full(m, self.first_at[0]) if rows is None else self.ends - matched
-        size = np.full(m, matched, np.int64)
-        if matched >= self.length:
-            everyone = np.arange(m)
-            lengths[everyone, sizes - matched] = matched
-            owner[everyone, sizes - matched] = self.class_owner[np.searchsorted(self.class_start, row, "right") - 1]
-        if self.own_only and not matched:
-            raise ValueError("this index has the rows of its own windows only")
+        row, size = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        at = np.full(m, self.first_at[0])
         r = len(self.start)
-        for k in range(matched, widest):
+        for k in range(widest):
             live = np.flatnonzero(sizes > k)
             place = sizes[live] - 1 - k
             symbol = flat[begins[live] + place].astype(np.int64) + 1
@@ -139,6 +123,7 @@ class RunLengthIndex:
             goes = self.head[run] == symbol
             if not goes.all():
                 miss = np.flatnonzero(~goes)
+                self.jumps += len(miss)
                 key = symbol[miss] * (r + 1) + run[miss]
                 j = np.searchsorted(self.symbol_key, key)
                 has_up = (j > 0) & (self.symbol_key[np.maximum(j - 1, 0)] // (r + 1) == symbol[miss])

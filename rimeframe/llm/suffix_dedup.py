@@ -6,10 +6,16 @@ A global index would need every document in one place; here the content itself s
 50-byte window is its 16-byte string of least hash, leftmost among equals, so equal windows have equal minimizers.
 Minimizers are counted, those of one document are dropped.  Neighbouring windows with one minimizer form a segment of at
 most 84 bytes, and segments are dealt by minimizer: all occurrences of a window meet in one shard.  Equal segments are
-combined before the shuffle (least and greatest doc_id).  A task builds run-length indexes over its shards one after the
-other (``run_length_index.py``), streams the segments through them as patterns, and learns for each place with a match of 50
-bytes the least doc_id that has it.  A shard too large for one index is cut; every segment is then streamed through each
-part.  The way back to the documents is a join on the segment.
+combined before the shuffle (least and greatest doc_id).  A task takes its shards one after the other.  The segments that
+another one's documents could lose bytes to are the reference texts: a run-length index (``run_length_index.py``) is built
+over them.  Every segment that could lose something is streamed through it, whether it is a reference itself or not; its
+matching statistics tell for each place with a match of 50 bytes the least doc_id that has it.  Marks of neighbouring windows
+make up the removed runs.  The way back to the documents is a join on the segment.
+
+A shard of over HOT segments, such as the ends of a passage that a third of all documents share, is split by more of what
+its windows hold: by the bytes around the minimizer, as many as the window has on each side in whole eights, then, where
+that leaves over HOT again, by the whole window.  Equal windows still meet, a segment becomes at most 10, then 35 pieces,
+and no shard is left that more machines wouldn't shorten.  Pieces go through the same index.
 
 Whole copies are found first by the hash of their bytes: all but the smallest doc_id lose every byte and need no index.
 
@@ -31,13 +37,13 @@ from pyspark.sql import functions as F
 from ._arrow import slices
 from ._store import Store
 from ._windows import runs
-from .run_length_index import RunLengthIndex
+from .run_length_index import RunLengthIndex, words_at
 
 WINDOW, GRAM = 50, 16
-#: Texts of one index, and of one pass over windows: small enough for a core's cache.
-INDEX_BYTES, SLICE = 1 << 16, 1 << 17
-#: A shard of more bytes is cut, and all its segments are streamed through each part.
-CUT_BYTES = 1 << 20
+#: Reference texts of one index, and texts of one pass over windows.
+INDEX_BYTES, SLICE = 1 << 18, 1 << 17
+#: Shards of more segments are split, by so many bytes at a time around the minimizer.
+HOT, QUANTA = 1000, (8, 1)
 
 
 def grams(text: np.ndarray) -> np.ndarray:
@@ -45,10 +51,7 @@ def grams(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < GRAM:
         return np.empty(0, np.uint64)
-    padded = np.concatenate([text, np.zeros(16, np.uint8)])
-    word = np.empty(n, np.uint64)
-    for k in range(8):
-        word[k::8] = padded[k : k + 8 * len(range(k, n, 8))].view(np.uint64)
+    word = words_at(text)
     out = word[: n - 15] * np.uint64(0x9E3779B97F4A7C15)
     out += word[8 : n - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
     out ^= out >> np.uint64(32)
@@ -57,6 +60,17 @@ def grams(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` hashes in sequence, the leftmost among equals."""
+    least, at, span = hashes, np.arange(len(hashes), dtype=np.int32), 1
+    while span < width:
+        by = min(span, width - span)
+        right = least[by:] < least[:-by]
+        least, at = np.where(right, least[by:], least[:-by]), np.where(right, at[by:], at[:-by])
+        span += by
+    return at.astype(np.int64)
+
+
 def _bytes(part: pa.RecordBatch) -> list[bytes]:
     return [b or b"" for b in part.column("text").cast(pa.binary()).to_pylist()]
 
@@ -74,18 +88,10 @@ class Run:
         hashes = grams(np.frombuffer(self.joined, np.uint8))
         width = WINDOW - GRAM + 1
         if len(hashes) < width:
-            self.row = self.first = self.last = np.empty(0, np.int64)
+            self.row = self.first = self.last = self.gram = np.empty(0, np.int64)
             self.minimizer = np.empty(0, np.uint64)
             return
-        bits = np.uint64(n.bit_length())
-        key = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-        span = 1
-        while 2 * span <= width:
-            key = np.minimum(key[:-span], key[span:])
-            span *= 2
-        if span < width:
-            key = np.minimum(key[: len(hashes) - width + 1], key[width - span : width - span + len(hashes) - width + 1])
-        at = (key & np.uint64((1 << int(bits)) - 1)).astype(np.int64)  # the minimizer's place, by the window's
+        at = leftmost_least(hashes, width)  # the minimizer's place, by the window's
         row = np.repeat(np.arange(len(counts)), counts)
         valid = np.flatnonzero(ends[row[: len(at)]] - np.arange(len(at)) >= WINDOW)
         at, row = at[valid], row[valid]
@@ -95,6 +101,7 @@ class Run:
         self.last = valid[np.append(np.flatnonzero(new)[1:] - 1, len(valid) - 1)] if len(valid) else valid
         self.row = row[new]
         self.minimizer = hashes[at[new]]
+        self.gram = at[new] - self.first
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -142,7 +149,7 @@ def _pieces(joined: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Arra
 
 
 def _segments(batches):
-    """Segments with a shared minimizer and the byte where each starts."""
+    """Segments with a shared minimizer, its place in each, and the byte where each starts."""
     for part in slices(batches, limit=SLICE):
         run = Run(part)
         hits = part.column("minimizers")
@@ -156,42 +163,44 @@ def _segments(batches):
         first, row = run.first[shared], run.row[shared]
         yield _batch(
             shard=pa.array(minimizer[shared]), doc_id=pa.array(_ids(part)[row]), segment=_pieces(np.frombuffer(run.joined, np.uint8), first, run.last[shared] - first + WINDOW),
-            start=pa.array((first - run.doc_start[row]).astype(np.int32)),
+            gram=pa.array(run.gram[shared].astype(np.int32)), start=pa.array((first - run.doc_start[row]).astype(np.int32)),
         )
 
 
-def _least(texts: list[bytes], owners: np.ndarray, limit: int = CUT_BYTES) -> np.ndarray:
-    """For each text and place the least owner of the 50 bytes from there, over all these texts; -1 beyond the end."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    part = np.cumsum(sizes) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-    if len(cuts) == 2:
-        return RunLengthIndex(texts, owners, WINDOW, own_only=True).own_windows(texts)
-    out = None
-    for a, b in zip(cuts, cuts[1:]):
-        index = RunLengthIndex(texts[a:b], owners[a:b], WINDOW)
-        for c, d in zip(cuts, cuts[1:]):
-            got = index.own_windows(texts[c:d]) if a == c else index.stream(texts[c:d])[1]
-            if out is None:
-                out = np.full((len(texts), int(sizes.max())), -1, np.int64)
-            old = out[c:d, : got.shape[1]]
-            out[c:d, : got.shape[1]] = np.where((got >= 0) & ((old < 0) | (got < old)), got, old)
-    return out
-
-
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
+def roles(shard: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, in order of (shard, first), are references, and which are streamed: a reference's least document is smaller
+    than some document of another row of the shard; a streamed row has a document that isn't the shard's least."""
+    new = np.concatenate([[True], shard[1:] != shard[:-1]])
+    begin = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    order = np.lexsort((last, of))
+    end = np.append(begin[1:], len(shard)) - 1
+    top = order[end]
+    other = last[top][of]
+    second = last[order[np.maximum(end - 1, 0)]]
+    other[top] = np.where(end > begin, second, np.iinfo(np.int64).min)
+    return first < other, last > first[begin][of]
+
+
 def _indexed(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of whole shards, through one index: the least owner at each place, where some is below ``last``."""
+    """Rows of whole shards, through one index: the least owner of each window, where some is below ``last``."""
     segments = part.column("segment").to_pylist()
-    owner = _least(segments, part.column("first").to_numpy())
-    windows = np.array([len(s) for s in segments]) - WINDOW + 1
-    wide = int(windows.max())
-    owner, inside = owner[:, :wide], np.arange(wide)[None, :] < windows[:, None]
-    useful = (inside & (owner < part.column("last").to_numpy()[:, None])).any(axis=1)
-    rows = pa.array(np.flatnonzero(useful))
+    first, last = part.column("first").to_numpy(), part.column("last").to_numpy()
+    reference, streamed = (np.flatnonzero(x) for x in roles(part.column("shard").to_numpy(), first, last))
+    windows = np.array([len(segments[i]) for i in streamed], np.int64) - WINDOW + 1
+    wide = int(windows.max(initial=0))
+    owner = np.repeat(first[streamed][:, None], wide, axis=1)
+    if len(reference) and len(streamed):
+        index = RunLengthIndex([segments[i] for i in reference], first[reference], WINDOW)
+        found = index.stream([segments[i] for i in streamed])[1][:, :wide]
+        owner = np.where((found >= 0) & (found < owner), found, owner)
+    inside = np.arange(wide)[None, :] < windows[:, None]
+    useful = (inside & (owner < last[streamed][:, None])).any(axis=1)
+    rows = pa.array(streamed[useful])
     return _batch(shard=part.column("shard").take(rows), segment=part.column("segment").take(rows), owners=_lists(owner[inside & useful[:, None]], windows[useful]))
 
 
@@ -241,6 +250,58 @@ def _owners(batches):
         yield from done(pa.concat_batches(held))
 
 
+def _split(quantum: int):
+    """Segments cut where the bytes around the minimizer, ``quantum`` at a time as far as a window has them, change."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for number, segment, gram, first, last in zip(*(batch.column(c).to_pylist() for c in ("number", "segment", "gram", "first", "last"))):
+                windows, begin = len(segment) - WINDOW + 1, 0
+                while begin < windows:
+                    before = gram - begin
+                    after = WINDOW - GRAM - before
+                    left, right = before // quantum * quantum, after // quantum * quantum
+                    end = min(windows, begin + min(before - left, quantum - 1 - (after - right)) + 1)
+                    key = xxhash.xxh64_intdigest(segment[gram - left : gram + GRAM + right] + bytes([left, right])) - (1 << 63)
+                    out.append((number, begin, key, segment[begin : end - 1 + WINDOW], before, first, last))
+                    begin = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE)], names=["number", "at", "shard", "segment", "gram", "first", "last"])
+
+    return run
+
+
+_PIECE = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+
+
+def least_owners(store: Store, distinct: DataFrame, quanta: tuple[int, ...] = QUANTA) -> DataFrame:
+    """``shard, segment, at, owners`` of ``distinct`` (shard, segment, gram, first, last): the least owner of each window from
+    the segment's byte ``at`` on.  Rows whose windows are all their own are left out."""
+    level = len(QUANTA) - len(quanta)
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("shard", "segment", "first", "last").repartition("shard").sortWithinPartitions("shard", "first")
+        return dealt.mapInArrow(_owners, "shard long, segment binary, owners array<long>").select("shard", "segment", F.lit(0).alias("at"), "owners")
+
+    if not quanta:
+        return indexed(distinct)
+    hot = store.keep(distinct.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("shard"), f"hot{level}")
+    if hot.isEmpty():
+        return indexed(distinct)
+    numbered = store.keep(distinct.join(hot, "shard", "left_semi").withColumn("number", F.monotonically_increasing_id()), f"numbered{level}")
+    pieces = numbered.select("number", "segment", "gram", "first", "last").mapInArrow(_split(quanta[0]), "number long, at int, shard long, segment binary, gram int, first long, last long")
+    pieces = store.keep(pieces, f"pieces{level}")
+    finer = store.keep(pieces.groupBy("shard", "segment").agg(F.min("gram").alias("gram"), F.min("first").alias("first"), F.max("last").alias("last")), f"finer{level}")
+    inner = least_owners(store, finer, quanta[1:]).withColumnRenamed("at", "inner")
+    back = pieces.select("number", "at", "shard", "segment").join(inner, ["shard", "segment"]).select("number", (F.col("at") + F.col("inner")).alias("at"), "owners")
+    back = store.keep(numbered.select("number", "shard", "segment").join(back, "number").select("shard", "segment", "at", "owners"), f"back{level}")
+    store.drop(f"numbered{level}", f"pieces{level}", f"finer{level}")
+    return indexed(distinct.join(hot, "shard", "left_anti")).unionByName(back)
+
+
 def _marks(batches):
     """Rows (doc_id, start, owners): the byte ranges covered by windows that a smaller doc_id has."""
     for batch in batches:
@@ -293,12 +354,13 @@ def find_repeats(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, D
     shared = store.keep(values.groupBy("minimizer").agg(F.count("*").alias("n")).where("n > 1").select("minimizer"), "shared")
     hits = store.keep(minimizers.join(shared.hint("shuffle_hash"), "minimizer", "left_semi").groupBy("doc_id").agg(F.collect_list("minimizer").alias("minimizers")), "hits")
     store.drop("shared")
-    segments = store.keep(texts.join(hits, "doc_id").mapInArrow(_segments, "shard long, doc_id long, segment binary, start int"), "segments")
+    segments = store.keep(texts.join(hits, "doc_id").mapInArrow(_segments, "shard long, doc_id long, segment binary, gram int, start int"), "segments")
     store.drop("hits")
-    distinct = segments.groupBy("shard", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    dealt = distinct.repartition("shard").sortWithinPartitions("shard", "first")
-    owners = store.keep(dealt.mapInArrow(_owners, "shard long, segment binary, owners array<long>"), "owners")
-    marks = segments.join(owners.hint("shuffle_hash"), ["shard", "segment"]).select("doc_id", "start", "owners").mapInArrow(_marks, "doc_id long, begin int, end int")
+    distinct = store.keep(segments.groupBy("shard", "segment").agg(F.min("gram").alias("gram"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    owners = store.keep(least_owners(store, distinct), "owners")
+    store.drop("distinct")
+    joined = segments.select("shard", "segment", "doc_id", "start").join(owners.hint("shuffle_hash"), ["shard", "segment"])
+    marks = joined.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "owners").mapInArrow(_marks, "doc_id long, begin int, end int")
     marks = store.keep(marks.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("marks")), "marks")
     store.drop("segments", "owners")
     changed = texts.join(marks, "doc_id").mapInArrow(_removals, "doc_id long, whole string, n_removed long, kept binary, spans array<struct<begin: long, end: long>>")

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,13 +96,69 @@ def test_index_on_patterns_of_its_own_and_others():
                 assert sizes[k, i] == best and owner[k, i] == want
 
 
-def test_large_shards_are_cut(monkeypatch):
-    rng = random.Random(2)
-    base = bytes(rng.choices(b"abcd", k=600))
-    texts = list({base[a : a + 70] for a in [rng.randrange(520) for _ in range(80)]})
-    owners = np.array([rng.randrange(40) for _ in texts])
-    whole, cut = suffix_dedup._least(texts, owners, 1 << 20), suffix_dedup._least(texts, owners, 900)
-    assert (whole == cut).all()
+def shards(rng, n=60):
+    """Rows (shard, segment, first, last) in order of shard and first, whose segments share strings within a shard."""
+    rows = []
+    for shard in range(n):
+        base = bytes(rng.choices(b"abcd\0", k=120))
+        segments = {base[a : a + rng.randint(50, 84)] for a in [rng.randrange(60) for _ in range(rng.randint(1, 6))]}
+        rows += sorted(((shard, s, f := rng.randrange(30), f + rng.choice((0, 0, 3))) for s in segments if len(s) >= 50), key=lambda r: r[2])
+    return rows
+
+
+def test_others_are_streamed_through_the_references(monkeypatch):
+    made = []
+
+    class Watched(RunLengthIndex):
+        def __init__(self, texts, *more):
+            super().__init__(texts, *more)
+            self.texts = set(texts)
+
+        def stream(self, patterns):
+            out = super().stream(patterns)
+            made.append((self.jumps, len(set(patterns) - self.texts)))
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "RunLengthIndex", Watched)
+    rows = shards(random.Random(2))
+    part = suffix_dedup._batch(**{c: pa.array(v, t) for (c, t), v in zip((("shard", pa.int64()), ("segment", pa.binary()), ("first", pa.int64()), ("last", pa.int64())), zip(*rows))})
+    got = {(s, t): o for b in suffix_dedup._owners([part]) for s, t, o in zip(*(b.column(c).to_pylist() for c in ("shard", "segment", "owners")))}
+    for shard, segment, first, last in rows:
+        want = [min(r[2] for r in rows if r[0] == shard and segment[k : k + 50] in r[1]) for k in range(len(segment) - 49)]
+        assert got.get((shard, segment), want) == want and ((shard, segment) in got) == (min(want) < last)
+    assert made and all(jumps > 0 and others > 0 for jumps, others in made)
+
+
+def test_minimizers_are_the_leftmost_of_the_least():
+    rng = np.random.default_rng(3)
+    for most in (3, 50, 1 << 60):
+        x = rng.integers(0, most, 300, dtype=np.uint64)
+        assert suffix_dedup.leftmost_least(x, 35).tolist() == [i + int(np.argmin(x[i : i + 35])) for i in range(266)]
+
+
+@pytest.mark.parametrize("quantum", [1, 8])
+def test_pieces_hold_every_window_once(quantum):
+    rng = random.Random(quantum)
+    rows = []
+    for n in range(200):
+        gram = rng.randint(0, 34)
+        rows.append((n, bytes(rng.choices(b"ab", k=rng.randint(50, gram + 50))), gram, n, n))
+    part = suffix_dedup._batch(number=[r[0] for r in rows], segment=[r[1] for r in rows], gram=[r[2] for r in rows], first=[r[3] for r in rows], last=[r[4] for r in rows])
+    windows, shard = Counter(), {}
+    for b in suffix_dedup._split(quantum)([part]):
+        for number, at, key, piece, gram in zip(*(b.column(c).to_pylist() for c in ("number", "at", "shard", "segment", "gram"))):
+            for k in range(len(piece) - 49):
+                windows[number, at + k] += 1
+                assert piece[k : k + 50] == rows[number][1][at + k : at + k + 50] and at + gram == rows[number][2]
+                assert shard.setdefault((piece[k : k + 50], gram - k), key) == key
+    assert windows == Counter((n, k) for n, s, *_ in rows for k in range(len(s) - 49))
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_hot_shards_are_split(spark, corpus, folder, monkeypatch, hot):
+    want = sorted(map(tuple, suffix_dedup.op8_suffix_dedup(spark, folder).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert sorted(map(tuple, suffix_dedup.op8_suffix_dedup(spark, folder).collect())) == want
 
 
 def test_sharding_law(spark, corpus, folder):
