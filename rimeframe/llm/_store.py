@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: While a table is written: shuffle files go with the query that made them, and Arrow batches to Python are small, since
 #: their buffers lie outside the executor's heap.
@@ -20,14 +21,31 @@ _SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (as in tests) one is made and set."""
+    """The folder all executors share.  Where the session names none, a local master, whose executors are the driver's
+    threads, gets a temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: So many ids (16 MB) are sent to every executor at most.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone`` (distinct ``doc_id``, staged); rows without one stay.
+
+    The ids are counted.  Up to BROADCAST_IDS they are broadcast and no document moves; beyond, both sides meet by doc_id.
+    """
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

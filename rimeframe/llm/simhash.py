@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import slices
-from ._store import Store
+from ._store import Store, without_ids
 from .components import components
 
 BITS = 64
@@ -366,8 +366,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of ``near_groups``; all columns as they were."""
     groups = near_groups(docs, Store(docs.sparkSession, "near-copies"))
     store = Store(docs.sparkSession, "near-dropped")
-    gone = store.keep(groups.where("doc_id <> root").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    return without_ids(docs, store.keep(groups.where("doc_id <> root").select("doc_id").distinct(), "gone"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

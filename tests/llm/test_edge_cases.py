@@ -103,6 +103,40 @@ def test_exact_groups(spark, tables):
     assert rows[10].group_size == 2 and rows[5].keep_id == 4
 
 
+def test_exact_dedup_of_odd_ids(spark):
+    least = -(1 << 63)
+    rows = [(least, "same text"), (5, "same  text"), (None, "same    text"), (7, "x"), (None, "y"), (least, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(docs).collect()]
+    want = [(least, 5, 3, False), (5, 5, 3, True), (None, 5, 3, False), (7, 7, 1, True), (None, None, 1, True), (least, least, 1, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(r.text for r in exact_dedup.drop_copies(docs.where("doc_id <> 5 OR doc_id IS NULL")).collect()) == ["same    text", "same text", "x", "y", "z"]
+
+
+@pytest.mark.parametrize("op", ["op9_exact_dedup", "op3_mixing"])
+def test_texts_stay_where_they_are(spark, tmp_path, op):
+    """What is written to shuffles does not hold the texts, even where Spark may not broadcast."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(map(str, rng.integers(0, 1 << 60, 300).tolist()))) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(i + 300, t + " ") for i, t in rows], "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("en"), "n_chars": F.length("text")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before, old = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        queries.queries()[op](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < shuffled(spark) - before < 0.5 * sum(len(t) for _, t in rows)
+
+
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def test_quality_of_nothing(spark, tables):
     rows = {r.doc_id: r for r in line_quality.op5_line_quality(spark, tables["plain"]).collect()}
     assert rows[0].base_failed and rows[0].n_words == 0 and not rows[1].kept and rows[4].kept
