@@ -34,23 +34,26 @@ class RunLengthIndex:
         n = len(symbols)
         self.length, self.jumps = length, 0
         self.word = words_at(joined)
-        self.rest = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols up to the text's end
+        self.rest = (np.repeat(ends, sizes + 1) - np.arange(n)).astype(np.int32)  # symbols up to the text's end
         rows, half, offset = self._sorted(symbols, int(sizes.max(initial=0)) + 1, length)
         # Rows whose first ``length`` symbols agree form a class; a class has a least owner.
         tail = np.append(half, np.full(offset, -1, half.dtype))
         a, b = half[rows], tail[rows + offset]
-        self.class_start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.class_of = np.cumsum(new, dtype=np.int32) - 1
         owner = np.repeat(owners, sizes + 1)
-        self.class_owner = np.minimum.reduceat(owner[rows], self.class_start)
+        self.class_owner = np.minimum.reduceat(owner[rows], np.flatnonzero(new))
         # The transform, kept as runs: rows with one symbol before them, whose steps back lead to rows in sequence.
-        back = np.empty(n, np.int64)
-        back[rows] = np.arange(n)
+        back = np.empty(n, np.int32)
+        back[rows] = np.arange(n, dtype=np.int32)
         last, image = symbols[rows - 1], back[rows - 1]
-        self.start = np.flatnonzero(np.concatenate([[True], (last[1:] != last[:-1]) | (image[1:] != image[:-1] + 1)]))
+        new = np.concatenate([[True], (last[1:] != last[:-1]) | (image[1:] != image[:-1] + 1)])
+        self.run_of = np.cumsum(new, dtype=np.int32) - 1
+        self.start = np.flatnonzero(new).astype(np.int32)
         self.head, self.to = last[self.start], image[self.start]
-        self.stop = np.append(self.start[1:], n)
-        self.first_at, self.last_at = rows[self.start], rows[self.stop - 1]
-        self.by_symbol = np.argsort(self.head, kind="stable")
+        self.stop = np.append(self.start[1:], np.int32(n))
+        self.first_at, self.last_at = rows[self.start].astype(np.int32), rows[self.stop - 1].astype(np.int32)
+        self.by_symbol = np.argsort(self.head, kind="stable").astype(np.int32)
         self.symbol_key = self.head[self.by_symbol].astype(np.int64) * (len(self.start) + 1) + self.by_symbol
 
     @staticmethod
@@ -91,7 +94,7 @@ class RunLengthIndex:
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols two positions share, up to ``most`` for each: eight at a time."""
         most = np.minimum(most, np.minimum(self.rest[a], self.rest[b]))
-        out = np.zeros(len(a), np.int64)
+        out = np.zeros(len(a), np.int32)
         alive, k = np.flatnonzero(most > 0), 0
         while len(alive):
             x = self.word[a[alive] + k] ^ self.word[b[alive] + k]
@@ -101,25 +104,31 @@ class RunLengthIndex:
             alive = alive[(same == 8) & (most[alive] > k)]
         return np.minimum(out, most)
 
-    def stream(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def stream(self, patterns: list[bytes], every: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: for each pattern and place the length of the match that starts there, and the least owner of
-        its first ``length`` symbols (-1 where the match is shorter).  One row a pattern, aligned left."""
+        its first ``length`` symbols (-1 where the match is shorter).  One row a pattern, aligned left.
+
+        Unless ``every`` length is asked for, a pattern is let go where what is left of it can't make a match of ``length``
+        any more; its lengths before that place stay 0."""
         m = len(patterns)
         sizes = np.array([len(p) for p in patterns], np.int64)
         widest = int(sizes.max(initial=0))
         flat = np.frombuffer(b"".join(patterns), np.uint8)
         begins = np.cumsum(sizes) - sizes
-        lengths = np.zeros((m, widest), np.int64)
+        lengths = np.zeros((m, widest), np.int32)
         owner = np.full((m, widest), -1, np.int64)
-        row, size = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        row, size = np.zeros(m, np.int32), np.zeros(m, np.int32)
         at = np.full(m, self.first_at[0])
         r = len(self.start)
+        live = np.arange(m)
         for k in range(widest):
-            live = np.flatnonzero(sizes > k)
+            live = live[(sizes[live] > k) if every else (sizes[live] - k + size[live] >= self.length) & (sizes[live] > k)]
+            if not len(live):
+                break
             place = sizes[live] - 1 - k
             symbol = flat[begins[live] + place].astype(np.int64) + 1
             q = row[live]
-            run = np.searchsorted(self.start, q, "right") - 1
+            run = self.run_of[q]
             goes = self.head[run] == symbol
             if not goes.all():
                 miss = np.flatnonzero(~goes)
@@ -131,7 +140,9 @@ class RunLengthIndex:
                 up, down = self.by_symbol[np.maximum(j - 1, 0)], self.by_symbol[np.minimum(j, r - 1)]
                 now, most = at[live[miss]], size[live[miss]]
                 share_up = np.where(has_up, self._shared(now, self.last_at[up], most), -1)
-                share_down = np.where(has_down, self._shared(now, self.first_at[down], most), -1)
+                share_down = np.where(has_down, 0, -1)
+                ask = np.flatnonzero(has_down & (share_up < most))  # elsewhere the end above is as good as any
+                share_down[ask] = self._shared(now[ask], self.first_at[down[ask]], most[ask])
                 take_up = share_up >= share_down
                 best = np.where(take_up, share_up, share_down)
                 found = best >= 0
@@ -151,6 +162,5 @@ class RunLengthIndex:
             lengths[live, place] = size[live]
             long = live[size[live] >= self.length]
             if len(long):
-                found_class = np.searchsorted(self.class_start, row[long], "right") - 1
-                owner[long, sizes[long] - 1 - k] = self.class_owner[found_class]
+                owner[long, sizes[long] - 1 - k] = self.class_owner[self.class_of[row[long]]]
         return lengths, owner

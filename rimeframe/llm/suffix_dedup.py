@@ -41,9 +41,9 @@ from .run_length_index import RunLengthIndex, words_at
 
 WINDOW, GRAM = 50, 16
 #: Reference texts of one index, and texts of one pass over windows.
-INDEX_BYTES, SLICE = 1 << 18, 1 << 17
-#: Shards of more segments are split, by so many bytes at a time around the minimizer.
-HOT, QUANTA = 1000, (8, 1)
+INDEX_BYTES, SLICE = 1 << 19, 1 << 17
+#: Shards of more segments, which fill half an index, are split, by so many bytes at a time around the minimizer.
+HOT, QUANTA = INDEX_BYTES // (2 * (2 * WINDOW - GRAM)), (8, 1)
 
 
 def grams(text: np.ndarray) -> np.ndarray:
@@ -60,15 +60,22 @@ def grams(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of each ``width`` hashes in sequence, the leftmost among equals."""
-    least, at, span = hashes, np.arange(len(hashes), dtype=np.int32), 1
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    span = 1
     while span < width:
         by = min(span, width - span)
-        right = least[by:] < least[:-by]
-        least, at = np.where(right, least[by:], least[:-by]), np.where(right, at[by:], at[:-by])
-        span += by
-    return at.astype(np.int64)
+        values, span = np.minimum(values[by:], values[:-by]), span + by
+    return values
+
+
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` hashes in sequence, the leftmost among equals."""
+    bits = np.uint64(len(hashes).bit_length())
+    low = np.uint64((1 << int(bits)) - 1)
+    at = (_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width) & low).astype(np.int64)
+    for i in np.flatnonzero(hashes[at] != _least(hashes, width)).tolist():  # two agreed in all but the low bits
+        at[i] = i + np.argmin(hashes[i : i + width])
+    return at
 
 
 def _bytes(part: pa.RecordBatch) -> list[bytes]:
@@ -196,7 +203,7 @@ def _indexed(part: pa.RecordBatch) -> pa.RecordBatch:
     owner = np.repeat(first[streamed][:, None], wide, axis=1)
     if len(reference) and len(streamed):
         index = RunLengthIndex([segments[i] for i in reference], first[reference], WINDOW)
-        found = index.stream([segments[i] for i in streamed])[1][:, :wide]
+        found = index.stream([segments[i] for i in streamed], every=False)[1][:, :wide]
         owner = np.where((found >= 0) & (found < owner), found, owner)
     inside = np.arange(wide)[None, :] < windows[:, None]
     useful = (inside & (owner < last[streamed][:, None])).any(axis=1)

@@ -94,6 +94,7 @@ def test_index_on_patterns_of_its_own_and_others():
                 best = max((n for n in range(len(p) - i + 1) if any(p[i : i + n] in t for t in texts)), default=0)
                 want = min((int(o) for t, o in zip(texts, owners) if p[i : i + length] in t), default=-1) if best >= length else -1
                 assert sizes[k, i] == best and owner[k, i] == want
+        assert (index.stream(patterns, every=False)[1] == owner).all()
 
 
 def shards(rng, n=60):
@@ -114,8 +115,8 @@ def test_others_are_streamed_through_the_references(monkeypatch):
             super().__init__(texts, *more)
             self.texts = set(texts)
 
-        def stream(self, patterns):
-            out = super().stream(patterns)
+        def stream(self, patterns, every=True):
+            out = super().stream(patterns, every)
             made.append((self.jumps, len(set(patterns) - self.texts)))
             return out
 
