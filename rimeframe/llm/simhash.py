@@ -216,27 +216,37 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
 
 #: Bits at which candidates are sought, one level after the other.
 LEVELS = (3, 5, 7, 8)
-#: About so many documents are counted for frequent shingles: those of FEW documents or more, at most FREQUENT.
-COUNTED, FEW, FREQUENT = 20_000, 5, 50_000
-#: A prefix is longer by one shingle for each so many shingles of the set, and a pair has to meet as many times more.
-SPREAD = 50
+#: Shingles are counted in runs of so many; those that FEW documents of a run have are added up, at most FREQUENT are used.
+RUN, FEW, FREQUENT = 4_000_000, 5, 200_000
+#: A prefix is longer by one shingle for each so many of the set, and may do without that many times DROPPED of them.
+SPREAD, DROPPED = 10, 0.4
 #: Longs of a set's parities.
 WORDS = 8
 
 
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many of the counted documents have, rarest first.  They stand last in the order of shingles, which
-    makes for fewer candidates; any order gives the same pairs."""
-    n = docs.count()
-    if n > COUNTED:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * COUNTED / n))
+    """Shingles that many documents have, rarest first.  They stand last in the order of shingles, which makes for fewer
+    candidates; any order gives the same pairs.  All documents are counted."""
 
     def run(batches):
+        held, size = [], 0
+
+        def counted():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c >= FEW].view(np.int64)), pa.array(c[c >= FEW])], names=["h", "c"])
+
         for part in slices(batches):
             for t in part.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], names=["h"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FEW)
+                own = np.unique(shingle_hashes(t, words))
+                held.append(own)
+                size += len(own)
+                if size >= RUN:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    counted = docs.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rows = counted.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     return np.array([r["h"] for r in rows[::-1]], np.int64).view(np.uint64)
 
@@ -254,6 +264,12 @@ def prefix(own: np.ndarray, last: np.ndarray, rank: np.ndarray, similarity: floa
     return own[:most]
 
 
+def dropped(size: Column) -> Column:
+    """How many shingles of its prefix a set may do without: two similar ones, whose sizes differ by a quarter at most, still
+    share 1 + k - d - e of the 1 + k that they had, where d and e are at most 0.4 and 0.5 k."""
+    return F.floor(DROPPED * F.floor(size / SPREAD)).cast("long")
+
+
 def parities(own: np.ndarray) -> np.ndarray:
     """Whether an odd number of shingles falls to each of 64 * WORDS bits; two sets differ in at least as many shingles as
     their parities differ in bits."""
@@ -294,20 +310,26 @@ def meetings(store: Store, nodes: DataFrame, similarity: float, beyond: int) ->
     more than ``beyond`` bits, and some that are less alike.
 
     ``nodes`` has distinct ``id`` and what ``_sketches`` gives.  Two such sets share shingles of their prefixes, and their
-    parities differ in few bits; shingles in the prefixes of one class only are left out first.
+    parities differ in few bits.  Shingles in the prefixes of one class only are left out first, then each set does without
+    the shingles of its prefix that most others have, as many as it may.
     """
-    each = nodes.select("id", "class", F.explode("prefix").alias("key"))
-    keys = store.keep(each.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "keys")
+    each = nodes.select("id", "size", "class", F.explode("prefix").alias("key"))
+    keys = each.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
+    keys = store.keep(keys.where("low < high").select("key", "n"), "keys")
+    listed = each.select("id", "size", "key").join(keys, "key").groupBy("id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    rarest = F.slice(F.col("keys.key"), F.lit(1), F.greatest(F.size("keys") - dropped(F.col("size")), F.lit(0)).cast("int"))
+    chosen = store.keep(listed.select("id", F.explode(rarest).alias("key")), "chosen")
     own = ["id", "fp", "class", "size", *_PARITIES]
-    rows = store.keep(each.select("id", "key").join(keys, "key").join(nodes.select(*own), "id"), "rows")
+    rows = store.keep(chosen.join(nodes.select(*own), "id"), "rows")
     left, right = (rows.select("key", *[F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in own]) for s in "ab")
     low, high = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     near = (left["key"] == right["key"]) & (left["a"] < right["b"]) & (left["a_class"] != right["b_class"]) & (low >= similarity * high)
     near = near & (F.bit_count(left["a_fp"].bitwiseXOR(right["b_fp"])) > beyond)
     odd = sum((F.bit_count(left[f"a_{c}"].bitwiseXOR(right[f"b_{c}"])) for c in _PARITIES), F.lit(0))
     near = near & (odd <= (1 - similarity) / (1 + similarity) * (left["a_size"] + right["b_size"]) + 1e-6)
-    met = left.join(right, near).select("a", "b", low.alias("low")).groupBy("a", "b", "low").agg(F.count("*").alias("n"))
-    return met.where(F.col("n") > F.floor(F.col("low") / SPREAD)).select("a", "b")
+    left_over = F.floor(low / SPREAD) - dropped(low) - dropped(high)
+    met = left.join(right, near).select("a", "b", left_over.alias("more")).groupBy("a", "b", "more").agg(F.count("*").alias("n"))
+    return met.where("n > more").select("a", "b")
 
 
 def _sets(words: int):
@@ -326,6 +348,10 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     Candidates are fingerprints within LEVELS[-1] bits, then all pairs of ``meetings``, so that no pair is lost.  The closest
     are sought and verified first; documents that are in one group already are not compared again, so that a large group
     costs links, not pairs.  Equal sets are one node.
+
+    Edge cases: null and empty texts have the empty set and are one group; texts of fewer words than a shingle are one
+    shingle; rows repeated with one doc_id share what the first of their groups says; a row without doc_id gets the root of
+    its equals, null if they have none; ties go to the smaller doc_id; an empty table gives no rows.
     """
     prints = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, words, similarity, frequent(docs, words)), _SKETCH), "sketches")
     same = [F.min(c).alias(c) for c in ("fp", *_PARITIES)]
@@ -363,7 +389,8 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of ``near_groups``; all columns as they were."""
+    """``docs`` with one document of each group of ``near_groups``; all columns as they were, whatever their names.  Rows
+    without a doc_id stay; edge cases as there."""
     groups = near_groups(docs, Store(docs.sparkSession, "near-copies"))
     store = Store(docs.sparkSession, "near-dropped")
     return without_ids(docs, store.keep(groups.where("doc_id <> root").select("doc_id").distinct(), "gone"))
