@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rimeframe.llm import exact_dedup, license_scan, line_quality, mixing, quality_classifier, sharding, simhash, substring_dedup, suffix_dedup
+from rimeframe.llm._store import Store
 from rimeframe.llm.run_length_index import RunLengthIndex
 from rimeframe.llm.sentencepiece_codec import Codec, tokenize
 
@@ -207,9 +209,27 @@ def test_mixing(spark, corpus, monkeypatch, fan):
     assert all(abs(taken[s] - target[s]) <= most and target[s] <= 3 * own[s] + 1e-9 for s in target)
 
 
-def test_targets_reshare_what_is_capped():
-    got = mixing.targets({"a": 10, "b": 1000, "c": 100, None: 5})
-    assert got["a"] == 30 and sum(got.values()) == 1115 and got[None] <= 15 and got["b"] <= 3000
+def targets(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    open_, out = set(order), {}
+    while open_:
+        share = Fraction(sum(sizes.values()) - sum(out.values()), sum(weight[s] for s in open_))
+        above = {s for s in open_ if share * weight[s] > most * sizes[s]}
+        if not above:
+            return out | {s: share * weight[s] for s in open_}
+        out |= {s: Fraction(most * sizes[s]) for s in above}
+        open_ -= above
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 100, None: 5}, {f"s{i % 7}é{i}": (i * 7919) % 5000 + (0 if i % 9 else 10**9) for i in range(60)} | {"": 0, "\ud7ff": 3, "\U00010000": 8, "\uffff": 9}, {"x": 0}])
+def test_targets_reshare_what_is_capped(spark, sizes):
+    rows = mixing.plan(Store(spark, "test"), spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets(sizes)
+    assert [r.name for r in sorted(rows, key=lambda r: r.id)] == sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    assert sorted(r.id for r in rows) == list(range(len(sizes))) and all(r.target == pytest.approx(float(want[r.name]), rel=1e-14) for r in rows)
+    assert all(r.whole + r.part == pytest.approx(float(want[r.name] / sizes[r.name]) if sizes[r.name] else 0) and 0 <= r.part < 1 and r.whole <= 3 for r in rows)
 
 
 def test_rounding_keeps_expectations():
@@ -224,13 +244,13 @@ def test_rounding_keeps_expectations():
 
 def test_license_scan_against_all_pairs(spark):
     rng = random.Random(4)
-    sets = license_scan.template_sets(license_scan.TEMPLATES)
-    vocabulary = sorted({t for _, tokens, _ in sets for t in tokens}) + [f"x{i}" for i in range(40)]
+    sentences = [t for _, _, t in license_scan.TEMPLATES]
+    vocabulary = sorted({w for t in sentences for w in t.split()} | {f"x{i}" for i in range(40)})
     rows = []
     for i in range(120):
-        words = rng.choices(vocabulary, k=rng.randint(0, 260))
+        words = rng.choices(vocabulary, k=rng.randint(0, 560))
         if i % 2:
-            sentence = list(rng.choice(sets)[1])
+            sentence = rng.choice(sentences).split()
             for _ in range(rng.randint(0, 4)):
                 sentence[rng.randrange(len(sentence))] = "zzz"
             at = rng.randint(0, len(words))
@@ -239,14 +259,15 @@ def test_license_scan_against_all_pairs(spark):
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-        labels, best = set(), 0.0
-        for s in range(0, max(len(words) - 40, 1), 40):
-            block = set(words[s : s + 80])
-            for label, tokens, need in sets:
-                n = len(block & set(tokens))
-                if n >= need:
-                    labels.add(label)
-                    best = max(best, n / len(tokens))
+        share = {}  # of each family and label
+        for s in range(0, max(len(words) - 100, 1), 100):
+            block = {*zip(words[s : s + 200], words[s + 1 : s + 200])}
+            for family, label, sentence in license_scan.TEMPLATES:
+                own = {*zip(sentence.split(), sentence.split()[1:])}
+                if len(block & own) >= 0.8 * len(own):
+                    share[family, label] = max(share.get((family, label), 0), len(block & own) / len(own))
+        labels = {l for (f, l), x in share.items() if x == max(y for (g, _), y in share.items() if f == g)}
+        best = max(share.values(), default=0.0)
         hits = [(k, name) for p, name in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         r = got[i]
         assert r.n_words == len(words) and r.n_base == len(hits)

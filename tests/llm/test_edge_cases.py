@@ -148,6 +148,18 @@ def test_license_rows(spark, tables):
     assert rows[0].n_words == 0 and rows[0].first_word is None and rows[0].labels == ""
 
 
+def test_licenses_are_told_apart(spark):
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    want = {
+        "Shared as CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0", "Shared as CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "CC BY 4.0": "cc-by,cc-by-4.0", "It is released under the same license as before.": "",
+        "It was released under the Apache license.": "apache", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "Released under the MIT license.": "mit,mit-notice",
+        gnu.format("program", ""): "gpl,gpl-notice", gnu.format("library", "Lesser "): "lgpl-notice", gnu.format("program", "Affero "): "agpl-notice",
+        "This wor\u212a is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0", "This w or\u212a is licensed under a creative commons attribution ShareAli\u212ae 4.0": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert {list(want)[r.doc_id]: r.labels for r in license_scan.scan(docs).collect()} == want
+
+
 def test_empty_texts_share_a_fingerprint(spark, tables):
     rows = {r.doc_id: r for r in simhash.op7_simhash(spark, tables["plain"]).collect()}
     assert rows[0].fingerprint == "0" * 16 and rows[0].component_id == rows[1].component_id == rows[2].component_id == 0
