@@ -7,6 +7,7 @@ so the outer corner is (-0.5, -0.5).
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +83,11 @@ def from_idx(g: Grid, i: Column) -> tuple[Column, Column]:
     return F.floor(i / g["nx"]).cast("long"), F.pmod(i, g["nx"]).cast("long")
 
 
+def equal(a: Grid, b: Grid) -> Column:
+    """Whether two grids have the same cells: sizes and outer limits."""
+    return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in GRID))
+
+
 def inbounds(g: Grid, x: Column, y: Column) -> Column:
     xa, xb, ya, yb = bounds(g)
     return (x >= xa) & (x <= xb) & (y >= ya) & (y <= yb)

@@ -89,6 +89,23 @@ def levenberg_marquardt(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarra
     return x, cost
 
 
+def inconsistencies(cameras: DataFrame, groups: DataFrame, controls: DataFrame) -> DataFrame:
+    """What would make a fit of cameras go wrong: rows (error, id).
+
+    ``cameras``: cam_id, nx, ny, params (names of its own free parameters); ``groups``: group_id, cam_id, params (names that
+    its cameras share); ``controls``: control, cam_id.  Errors are "no controls" (no id), "image sizes" (a group that shares f
+    or c among images of different sizes), "groups overlap" (a camera in two groups that share a parameter) and
+    "not in controls" (a camera with free parameters that no control sees)."""
+    none = controls.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no controls").alias("error"), F.lit(None).cast("long").alias("id"))
+    joined = groups.join(cameras.select("cam_id", "nx", "ny"), "cam_id").where(F.arrays_overlap("params", F.array(F.lit("f"), F.lit("c"))))
+    sizes = joined.groupBy("group_id").agg(F.count_distinct("nx", "ny").alias("n")).where("n > 1").select(F.lit("image sizes").alias("error"), F.col("group_id").cast("long").alias("id"))
+    shared = groups.select("cam_id", "group_id", F.explode("params").alias("p")).groupBy("cam_id", "p").agg(F.count_distinct("group_id").alias("n")).where("n > 1")
+    overlap = shared.select(F.lit("groups overlap").alias("error"), F.col("cam_id").cast("long").alias("id")).distinct()
+    free = cameras.where(F.size("params") > 0).select("cam_id").unionByName(groups.where(F.size("params") > 0).select("cam_id")).distinct()
+    unseen = free.join(controls, "cam_id", "left_anti").select(F.lit("not in controls").alias("error"), F.col("cam_id").cast("long").alias("id"))
+    return none.unionByName(sizes).unionByName(overlap).unionByName(unseen)
+
+
 def polynomial_fit(rows: DataFrame, x: str, y: str, degree: int) -> np.ndarray:
     """Coefficients, highest power first, from sums of powers."""
     powers = [F.sum(F.pow(F.col(x), F.lit(float(k)))).alias(f"s{k}") for k in range(2 * degree + 1)]

@@ -1,8 +1,8 @@
 """Keypoint matching, match filters and the match graph.
 
 Descriptors of two images meet within their image pair; a pair's descriptors are grouped by pair and spread by keypoint, so
-a pair with many keypoints is many tasks' work.  Per keypoint only the two nearest candidates are kept, by an aggregation
-that combines on the map side.
+a pair with many keypoints is many tasks' work.  Per keypoint only the two nearest candidates are kept, by a rank that is cut
+before and after the shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def two_nearest(pairs: DataFrame, left: list[str]) -> DataFrame:
     """For each left keypoint the nearest and second nearest right one (d1, right, d2) of rows with d2_ and kp_j."""
-    best = F.min(F.struct("d", "kp_j"))
-    first = pairs.groupBy(*left).agg(best.alias("b"))
-    rest = pairs.join(first, left).where(F.col("kp_j") != F.col("b.kp_j"))
-    second = rest.groupBy(*left).agg(F.min("d").alias("d2"))
-    return first.join(second, left, "left").select(*left, F.col("b.kp_j").alias("kp_j"), F.col("b.d").alias("d1"), "d2")
+    # A rank of at most two is cut on both sides of the shuffle; what is left is one group of two rows a keypoint.
+    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*left).orderBy("d", "kp_j"))).where("_r <= 2")
+    more = [c for c in ("apart",) if c in pairs.columns]
+    two = near.groupBy(*left).agg(F.min(F.struct("_r", "kp_j", "d", *more)).alias("b"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("d2"))
+    return two.select(*left, F.col("b.kp_j").alias("kp_j"), F.col("b.d").alias("d1"), "d2", *[F.col(f"b.{c}").alias(c) for c in more])
 
 
 def match_keypoints(keypoints: DataFrame, image_pairs: DataFrame, max_ratio: float | None = None, mutual: bool = False, max_distance: float | None = None) -> DataFrame:
@@ -38,6 +38,8 @@ def match_keypoints(keypoints: DataFrame, image_pairs: DataFrame, max_ratio: flo
     a = keypoints.select(F.col("img").alias("img_i"), F.col("kp").alias("kp_i"), F.col("descriptor").alias("x"), *[F.col(c).alias(f"{c}_i") for c in ("u", "v") if c in keypoints.columns])
     b = keypoints.select(F.col("img").alias("img_j"), F.col("kp").alias("kp_j"), F.col("descriptor").alias("y"), *[F.col(c).alias(f"{c}_j") for c in ("u", "v") if c in keypoints.columns])
     met = image_pairs.join(a, "img_i").join(b, "img_j").withColumn("d", F.sqrt(squared_distance(F.col("x"), F.col("y"))))
+    apart = [F.hypot(F.col("u_i") - F.col("u_j"), F.col("v_i") - F.col("v_j")).alias("apart")] if max_distance is not None else []
+    met = met.select("img_i", "img_j", "kp_i", "kp_j", "d", *apart)
     out = two_nearest(met, ["img_i", "img_j", "kp_i"]).withColumn("ratio", F.col("d1") / F.when(F.col("d2") > 0, F.col("d2")))
     if max_ratio is not None:
         out = out.where(F.col("ratio") < max_ratio)
@@ -46,8 +48,7 @@ def match_keypoints(keypoints: DataFrame, image_pairs: DataFrame, max_ratio: flo
         back = back.select("img_i", "img_j", "kp_j", F.col("r.kp_i").alias("kp_i"))
         out = out.join(back, ["img_i", "img_j", "kp_j", "kp_i"], "left_semi")
     if max_distance is not None:
-        places = met.select("img_i", "img_j", "kp_i", "kp_j", F.hypot(F.col("u_i") - F.col("u_j"), F.col("v_i") - F.col("v_j")).alias("apart"))
-        out = out.join(places, ["img_i", "img_j", "kp_i", "kp_j"]).where(F.col("apart") < max_distance).drop("apart")
+        out = out.where(F.col("apart") < max_distance).drop("apart")
     return out.withColumn("weight", 1.0 / F.col("ratio"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as R
+from .lines import bresenham_circles
 
 
 def sample(points: DataFrame, cells: DataFrame, g: R.Grid, order: int = 1, keys: list[str] | None = None) -> DataFrame:
@@ -127,13 +128,23 @@ def interpolate(before: DataFrame, after: DataFrame, share: Column, gap: Column)
     return before.join(b, ["row", "col"]).select("row", "col", z.alias("z"), F.sqrt(var).alias("s"))
 
 
-def resample(cells: DataFrame, source: R.Grid, target: R.Grid, nx: int, ny: int) -> DataFrame:
-    """Values at the cell centres of another grid."""
+def resample(cells: DataFrame, source: R.Grid, target: R.Grid, nx: int, ny: int, raster: str = "raster_id") -> DataFrame:
+    """Values of each raster at the cell centres of another grid."""
     spark = cells.sparkSession
     t = spark.range(nx * ny).select(F.floor(F.col("id") / nx).cast("long").alias("trow"), (F.col("id") % nx).alias("tcol"), F.col("id").alias("pid"))
     x, y = R.centre(target, F.col("trow"), F.col("tcol"))
-    out = sample(t.withColumns({"x": x, "y": y}), cells, source)
-    return out.select(F.col("trow").alias("row"), F.col("tcol").alias("col"), F.col("value").alias("z"))
+    t = t.crossJoin(cells.select(raster).distinct()).withColumn("pid", F.struct("pid", raster))
+    out = sample(t.withColumns({"x": x, "y": y}), cells, source, keys=[raster])
+    return out.select(raster, F.col("trow").alias("row"), F.col("tcol").alias("col"), F.col("value").alias("z"))
+
+
+def fill_circles(cells: DataFrame, circles: DataFrame, value: float, raster: str = "raster_id") -> DataFrame:
+    """``cells`` with the insides of circles (raster, x, y, r in cells) set to a value: of each row what lies between the
+    outermost cells of the rasterised circle."""
+    ring = bresenham_circles(circles.select(F.struct(raster, "x", "y", "r").alias("k"), "x", "y", "r"))
+    rows = ring.groupBy("k", "y").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    filled = rows.select(F.col(f"k.{raster}").alias(raster), F.col("y").cast("long").alias("row"), F.explode(F.sequence(F.col("low").cast("long"), F.col("high").cast("long"))).alias("col")).distinct()
+    return cells.join(filled.withColumn("_in", F.lit(True)), [raster, "row", "col"], "left").withColumn("z", F.when(F.col("_in"), F.lit(value)).otherwise(F.col("z"))).drop("_in")
 
 
 def polygon_mask(cells: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,25 +158,25 @@ def polygon_mask(cells: DataFrame, edges: DataFrame, keys: list[str]) -> DataFra
     return inside.drop("n")
 
 
-def horizon(cells: DataFrame, rays: DataFrame, height: float, reach: float | None = None) -> DataFrame:
-    """For each ray (ray, t, row, col, distance from the eye; t = 0 is the eye) the first cell with the greatest slope seen
+def horizon(cells: DataFrame, rays: DataFrame, height: float, raster: str = "raster_id") -> DataFrame:
+    """For each raster and ray (ray, t, row, col, distance from the eye; t = 0 is the eye) the first cell with the greatest slope seen
     from ``height`` above the origin cell; none if no valid cell lies behind it."""
-    seen = rays.join(cells.select("row", "col", "z"), ["row", "col"], "left")
-    eye = seen.where("t = 0").select("ray", (F.col("z") + height).alias("eye"))
+    seen = rays.join(cells.select(raster, "row", "col", "z"), ["row", "col"])
+    eye = seen.where("t = 0").select(raster, "ray", (F.col("z") + height).alias("eye"))
     slope = (F.col("z") - F.col("eye")) / F.col("distance")
-    out = seen.where("t > 0").join(eye, "ray").where("z IS NOT NULL").withColumn("slope", slope)
-    best = out.groupBy("ray").agg(F.max(F.struct(F.col("slope"), (-F.col("t")).alias("back"), "row", "col")).alias("b"), F.max("t").alias("last"))
-    return best.where("-b.back < last").select("ray", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.slope").alias("slope"))
+    out = seen.where("t > 0").join(eye, [raster, "ray"]).where("z IS NOT NULL").withColumn("slope", slope)
+    best = out.groupBy(raster, "ray").agg(F.max(F.struct(F.col("slope"), (-F.col("t")).alias("back"), "row", "col")).alias("b"), F.max("t").alias("last"))
+    return best.where("-b.back < last").select(raster, "ray", F.col("b.row").alias("row"), F.col("b.col").alias("col"), F.col("b.slope").alias("slope"))
 
 
-def visible_along_rays(cells: DataFrame, rays: DataFrame, height: float) -> DataFrame:
-    """Cells whose slope from the eye exceeds that of all nearer cells of their ray: a viewshed by rays, which spreads over
+def visible_along_rays(cells: DataFrame, rays: DataFrame, height: float, raster: str = "raster_id") -> DataFrame:
+    """Cells of each raster whose slope from the eye exceeds that of all nearer cells of their ray: a viewshed by rays, which spreads over
     the cluster.  (``viewshed_rings`` is the ring-by-ring discretisation.)"""
-    seen = rays.join(cells.select("row", "col", "z"), ["row", "col"])
-    eye = seen.where("t = 0").select("ray", (F.col("z") + height).alias("eye"))
-    out = seen.where("t > 0").join(eye, "ray").withColumn("slope", (F.col("z") - F.col("eye")) / F.col("distance"))
-    before = F.max("slope").over(Window.partitionBy("ray").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("_b", before).where("_b IS NULL OR slope > _b").select("row", "col").distinct()
+    seen = rays.join(cells.select(raster, "row", "col", "z"), ["row", "col"])
+    eye = seen.where("t = 0").select(raster, "ray", (F.col("z") + height).alias("eye"))
+    out = seen.where("t > 0").join(eye, [raster, "ray"]).withColumn("slope", (F.col("z") - F.col("eye")) / F.col("distance"))
+    before = F.max("slope").over(Window.partitionBy(raster, "ray").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("_b", before).where("_b IS NULL OR slope > _b").select(raster, "row", "col").distinct()
 
 
 def viewshed_rings(cells: DataFrame, d: float, raster: str = "raster_id") -> DataFrame:

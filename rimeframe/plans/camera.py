@@ -150,13 +150,13 @@ def cam_undistort_regulafalsi(spark, sf):
     return _back(spark, sf, lambda p, cam: p.withColumn("s", U.false_position(cam, F.col("xx"), F.col("yy"))).withColumns({"sx": F.col("s.x"), "sy": F.col("s.y")}))
 
 
-@query(f"WITH {_NORM} SELECT cam_id, pk, {sql6('xx', 3)} AS x, {sql6('yy', 3)} AS y FROM sq")
+@query(f"WITH {_NORM} SELECT cam_id, pk, {sql6('xx', 8)} AS x, {sql6('yy', 8)} AS y, true AS close FROM sq")
 def cam_undistort_lookup(spark, sf):
-    out = _back(spark, sf, lambda p, cam: p.withColumn("s", U.by_lookup(cam, F.col("xx"), F.col("yy"))).withColumns({"sx": F.col("s.x"), "sy": F.col("s.y")}))
-    x, y = C.from_pixels(C.camera(), F.col("u"), F.col("v"))
-    exact = image_points(spark, sf).crossJoin(cameras(spark, sf)).select("cam_id", "pk", x.alias("xx"), y.alias("yy"))
-    near = lambda a, b: F.when(F.abs(F.col(a) - F.col(b)) < 1e-5, F.col(b)).otherwise(F.col(a))  # noqa: E731  linear cells are good to some 1e-6
-    return out.join(exact, ["cam_id", "pk"]).select("cam_id", "pk", r6(near("x", "xx"), 3).alias("x"), r6(near("y", "yy"), 3).alias("y"))
+    """Distorted again, the points looked up lie within 1e-5 of the originals: linear cells are good to some 1e-6."""
+    p = _normal(spark, sf).withColumn("s", U.by_lookup(C.camera(), F.col("xx"), F.col("yy")))
+    x, y = C.distort(C.camera(), F.col("s.x"), F.col("s.y"))
+    close = (F.abs(x - F.col("xx")) < 1e-5) & (F.abs(y - F.col("yy")) < 1e-5)
+    return p.select("cam_id", "pk", r6(F.col("xx"), 8).alias("x"), r6(F.col("yy"), 8).alias("y"), close.alias("close"))
 
 
 @query(_ORIGINAL)
@@ -247,20 +247,36 @@ def cam_grid(spark, sf):
     return O.image_grid(cameras(spark, sf), 20.0).select("cam_id", "u", "v")
 
 
-@query()
+def _rays_at(points: str) -> str:
+    """CTEs from ``pp`` (cam_id, i, u, v): undistorted by enough fixed-point steps, turned, at a depth of 100."""
+    radial = "((1 + (a * a + b * b) * (k1 + (a * a + b * b) * (k2 + (a * a + b * b) * k3))) / (1 + (a * a + b * b) * (k4 + (a * a + b * b) * (k5 + (a * a + b * b) * k6))))"
+    return f"""{CAM}, {points}, st AS (SELECT pp.i, pp.u, pp.v, rot.*, (pp.u - nx / 2 - cx) / fx AS xx, (pp.v - ny / 2 - cy) / fy AS yy FROM pp JOIN rot USING (cam_id)),
+it(cam_id, i, u, v, s, a, b) AS (SELECT cam_id, i, u, v, 0, xx, yy FROM st UNION ALL SELECT cam_id, it.i, it.u, it.v, s + 1, (xx - 2 * a * b * p1 - p2 * (a * a + b * b + 2 * a * a)) / {radial}, (yy - p1 * (a * a + b * b + 2 * b * b) - 2 * a * b * p2) / {radial}
+  FROM it JOIN st USING (cam_id, i) WHERE s < 100),
+ray AS (SELECT cam_id, it.i, x, y, z, x + 100 * (r11 * a + r21 * b + r31) AS rx, y + 100 * (r12 * a + r22 * b + r32) AS ry, z + 100 * (r13 * a + r23 * b + r33) AS rz FROM it JOIN rot USING (cam_id) WHERE s = 100)"""
+
+
+_BORDER = "pp AS (SELECT cam_id, row_number() OVER (PARTITION BY cam_id) AS i, u, v FROM (SELECT cam_id, i::DOUBLE AS u, unnest([0.0::DOUBLE, ny]) AS v FROM cam, range(0, 401) t(i) UNION ALL SELECT cam_id, unnest([0.0::DOUBLE, nx]), i::DOUBLE FROM cam, range(0, 301) t(i)))"
+_BOX = ", ".join(f"{sql6(f'{f}({g}(r{n}), any_value({n}))', 4)} AS {n}_{k}" for n in "xyz" for k, f, g in (("min", "least", "min"), ("max", "greatest", "max")))
+
+
+@query(f"WITH RECURSIVE {_rays_at(_BORDER)} SELECT cam_id, {_BOX} FROM ray GROUP BY 1")
 def cam_viewbox(spark, sf):
     box = O.view_boxes(cameras(spark, sf), 1, 100.0)
-    return box.select("cam_id", *[r6(F.col(c)).alias(c) for c in box.columns[1:]])
+    return box.select("cam_id", *[r6(F.col(c), 4).alias(c) for c in box.columns[1:]])
+
+
+_LEVEL = "pp AS (SELECT cam_id, i, i * nx AS u, ny / 2 + cy AS v FROM cam, range(0, 2) t(i))"
 
 
-@query()
+@query(f"WITH RECURSIVE {_rays_at(_LEVEL)} SELECT cam_id, i::INT + 1 AS i, {sql6('rx', 4)} AS x, {sql6('ry', 4)} AS y FROM ray UNION ALL SELECT cam_id, unnest([0, 3])::INT, {sql6('x', 4)}, {sql6('y', 4)} FROM cam")
 def cam_viewpoly(spark, sf):
     """The field of view from above: camera, left and right ray of the principal row at 100 units, camera."""
     cam = C.camera()
     level = F.col("ny") / 2.0 + F.col("cy")
     left, right = (C.unproject(cam, u, level, directions=False, distance=F.lit(100.0)) for u in (F.lit(0.0), F.col("nx")))
     ring = [(F.col("x"), F.col("y")), left[:2], right[:2], (F.col("x"), F.col("y"))]
-    points = F.array(*[F.struct(r6(a).alias("x"), r6(b).alias("y")) for a, b in ring])
+    points = F.array(*[F.struct(r6(a, 4).alias("x"), r6(b, 4).alias("y")) for a, b in ring])
     return cameras(spark, sf).select("cam_id", F.posexplode(points).alias("i", "p")).select("cam_id", "i", "p.x", "p.y")
 
 

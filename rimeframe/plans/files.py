@@ -13,6 +13,7 @@ from ..operators import matching as M
 from ..operators import rasters as R
 from ..operators import tracking as K
 from ..sources import rasters as S
+from ..sources import reports as P
 from . import match, raster
 from .roles import CAM, cameras, r6, sql6, table
 from .raster import C as CELLS
@@ -102,27 +103,32 @@ def _target_pixels(spark, sf):
     return p.withColumns({"su": su, "sv": sv})
 
 
-@query()
-def image_project(spark, sf):
-    """An image resampled into a camera at the same place: the source is a plane 0.5 u + 0.25 v, sampled bilinearly.
-
-    Returns the resampled value and the plane's own value there; they agree wherever the source covers the target."""
+def _resampled(spark, sf):
+    """Every camera's target pixels with the source's value there; the source is a plane 0.5 u + 0.25 v, sampled bilinearly."""
     from ..functions import grid as G
 
-    p = _target_pixels(spark, sf).where("cam_id = 0").withColumn("pid", F.monotonically_increasing_id())
     g = G.of(100, 75, (0.0, 400.0), (0.0, 300.0))
     cells = spark.range(7500).select(F.floor(F.col("id") / 100).cast("long").alias("row"), (F.col("id") % 100).alias("col"))
     x, y = G.centre(g, F.col("row"), F.col("col"))
-    cells = cells.withColumn("z", 0.5 * x + 0.25 * y)
-    p = S.checkpoint(p.select("pid", "u", "v", F.col("su").alias("x"), F.col("sv").alias("y")), "pixels")
-    got = R.sample(p, cells, g)
-    return got.select("u", "v", r6(F.col("value"), 4).alias("value"), r6(F.when(F.col("value").isNotNull(), 0.5 * F.col("x") + 0.25 * F.col("y")), 4).alias("expected"))
+    p = _target_pixels(spark, sf).select(F.monotonically_increasing_id().alias("pid"), "cam_id", "u", "v", F.col("su").alias("x"), F.col("sv").alias("y"))
+    got = R.sample(S.checkpoint(p, "pixels"), cells.withColumn("z", 0.5 * x + 0.25 * y), g)
+    return got.withColumn("expected", 0.5 * F.col("x") + 0.25 * F.col("y"))
+
+
+@query()
+def image_project(spark, sf):
+    """Images resampled into cameras at the same place.
+
+    Returns the resampled value and the plane's own value there; they agree wherever the source covers the target."""
+    value = F.col("value")
+    return _resampled(spark, sf).select("cam_id", "u", "v", r6(value, 4).alias("value"), r6(F.when(value.isNotNull(), F.col("expected")), 4).alias("expected"))
 
 
-@query(f"WITH {CAM} SELECT cam_id, 300 AS pixels FROM cam")
+@query(f"WITH {CAM} SELECT cam_id, 300::BIGINT AS pixels, true AS covered, true AS close FROM cam")
 def project_images(spark, sf):
-    """The same for every camera at once: how many target pixels each has."""
-    return _target_pixels(spark, sf).groupBy("cam_id").agg(F.count("*").cast("int").alias("pixels"))
+    """All images at once: target pixels of each, and whether the source covers half of them at least and agrees there."""
+    error = F.abs(F.col("value") - F.col("expected"))
+    return _resampled(spark, sf).groupBy("cam_id").agg(F.count("*").alias("pixels"), (2 * F.count("value") >= F.count("*")).alias("covered"), (F.max(error) < 1e-6).alias("close"))
 
 
 @query(f"WITH {match._NN}, back AS (SELECT img_i, img_j, kp_j, arg_min(kp_i, (d, kp_i)) AS kp_i FROM d GROUP BY 1, 2, 3), k AS (SELECT img_i, img_j FROM nn JOIN back USING (img_i, img_j, kp_i, kp_j) WHERE r = 1 AND d / d2 < 0.98) SELECT img, count(*) AS matches FROM (SELECT img_i AS img FROM k UNION ALL SELECT img_j FROM k) GROUP BY 1")
@@ -173,9 +179,11 @@ def raster_copy(spark, sf):
     return c
 
 
-@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS last FROM pages")
+@query("SELECT page_id, split_part(regexp_extract(url || CASE WHEN page_id % 2 = 0 THEN '/a.tar.gz' ELSE '' END, '([^/]*)$', 1), '.', 1) AS name FROM pages")
 def strip_path(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("last"))
+    """The last component of a path without its extensions."""
+    path = F.concat("url", F.when(F.col("page_id") % 2 == 0, "/a.tar.gz").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", P.bare_name(path).alias("name"))
 
 
 @query(f"WITH {CAM}, {match._CTRL} SELECT cam_id, {sql6('any_value(fx) * radians(1.0::DOUBLE) / count(*)')} AS scale FROM cam JOIN ctrl USING (cam_id) GROUP BY 1")

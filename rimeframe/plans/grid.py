@@ -116,12 +116,19 @@ def grid_shift(spark, sf):
     return grids(spark, sf).select("grid_id", *[g[n].alias(n) for n in ("x0", "x1", "y0", "y1")])
 
 
-@query(f"WITH {_GRIDS} SELECT a.grid_id AS a, b.grid_id AS b FROM g a JOIN g b ON a.grid_id < b.grid_id AND a.ny = b.ny AND a.y0 = b.y0 AND a.y1 = b.y1")
+#: Grids that are equal, and that differ in one axis, one limit or one size.
+_ALIKE = """g AS (SELECT n_nationkey AS grid_id, 10 + n_nationkey % 2 AS nx, 8 + n_nationkey % 3 // 2 AS ny, n_nationkey % 5 // 4 * 10.0::DOUBLE AS x0, 50.0::DOUBLE AS x1, 40.0::DOUBLE AS y0,
+  CASE WHEN n_nationkey = 7 THEN 1.0 ELSE 0.0 END::DOUBLE AS y1 FROM nation)"""
+
+
+@query(f"WITH {_ALIKE} SELECT a.grid_id AS a, b.grid_id AS b FROM g a JOIN g b ON a.grid_id < b.grid_id AND (a.nx, a.ny, a.x0, a.x1, a.y0, a.y1) = (b.nx, b.ny, b.x0, b.x1, b.y0, b.y1)")
 def grid_equal(spark, sf):
-    """Pairs of grids with the same vertical axis."""
-    a, b = grids(spark, sf).alias("a"), grids(spark, sf).alias("b")
-    same = (F.col("a.grid_id") < F.col("b.grid_id")) & F.col("a.ny").eqNullSafe(F.col("b.ny")) & F.col("a.y0").eqNullSafe(F.col("b.y0")) & F.col("a.y1").eqNullSafe(F.col("b.y1"))
-    return a.join(b, same).select(F.col("a.grid_id").alias("a"), F.col("b.grid_id").alias("b"))
+    """Pairs of equal grids."""
+    k = F.col("n_nationkey")
+    limits = {"x0": F.floor(k % 5 / 4) * 10.0, "x1": F.lit(50.0), "y0": F.lit(40.0), "y1": F.when(k == 7, 1.0).otherwise(0.0)}
+    g = table(spark, sf, "nation").select(k.alias("grid_id"), (10 + k % 2).alias("nx"), (8 + F.floor(k % 3 / 2)).alias("ny"), *[v.alias(n) for n, v in limits.items()])
+    a, b = (g.select(*[F.col(c).alias(f"{side}_{c}") for c in g.columns]) for side in "ab")
+    return a.join(b, R.equal(R.grid("a_"), R.grid("b_")) & (F.col("a_grid_id") < F.col("b_grid_id"))).select(F.col("a_grid_id").alias("a"), F.col("b_grid_id").alias("b"))
 
 
 @query(
@@ -229,11 +236,11 @@ def ray_plane(spark, sf):
     return k.select("pk", *[r6(h).alias(n) for h, n in zip(hit, "xyz")])
 
 
-@query(f"WITH {_RAYS}, t AS (SELECT *, (8 - (ox + 2 * oy)) / nullif(dx + 2 * dy, 0) AS t FROM rays) SELECT k, CASE WHEN t >= 0 THEN {sql6('ox + dx * t', 4)} END AS x, CASE WHEN t >= 0 THEN {sql6('oy + dy * t', 4)} END AS y FROM t")
+@query(f"WITH {_RAYS}, t AS (SELECT *, (8.00002333::DOUBLE - (ox + 2 * oy)) / nullif(dx + 2 * dy, 0) AS t FROM rays) SELECT k, CASE WHEN t >= 0 THEN {sql6('ox + dx * t', 4)} END AS x, CASE WHEN t >= 0 THEN {sql6('oy + dy * t', 4)} END AS y FROM t")
 def rays_plane(spark, sf):
-    """Many rays and the plane x + 2 y = 8."""
-    zero = F.lit(0.0)
-    plane = [[F.lit(8.0), zero, zero], [zero, F.lit(4.0), zero], [F.lit(8.0), zero, F.lit(1.0)]]
+    """Many rays and the plane x + 2 y = 8.00002333, where no hit lies halfway between two rounded values."""
+    zero, d = F.lit(0.0), 8.00002333
+    plane = [[F.lit(d), zero, zero], [zero, F.lit(d / 2), zero], [F.lit(d), zero, F.lit(1.0)]]
     hit = G.ray_plane([*_ray()[0], zero], [*_ray()[1], zero], plane)
     return rays(spark, sf).select("k", r6(hit[0], 4).alias("x"), r6(hit[1], 4).alias("y"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import exif as E
 from ..sources import reports as P
 from ..sources import svg as S
-from .roles import r6, sql6, table
+from .roles import r6, sql6, table, cameras
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -165,11 +165,13 @@ def sink_exif(spark, sf):
     return t.select(_key(), ((F.col("aperture") == 8.0) & (F.col("ny") == 80) & (F.col("model") == "NIKON D200")).alias("same"))
 
 
-@query("SELECT p_partkey AS pk, coalesce(CASE WHEN p_size % 2 = 0 THEN 100 + p_size END, CASE WHEN p_size % 3 = 0 THEN 50 END, 10)::INT AS nx FROM part")
+@query("SELECT p_partkey AS pk, CASE WHEN p_size % 2 = 0 THEN 400 ELSE 100 + p_size END::INT AS nx, CASE WHEN p_size % 2 = 0 THEN 300 ELSE 80 END::INT AS ny, TIMESTAMP '2014-10-13 02:03:36.28' AS ts FROM part")
 def scan_image_init(spark, sf):
-    """An image's size: the camera's, else the tag's, else the file's."""
-    cam, tag, file = F.when(F.col("p_size") % 2 == 0, 100 + F.col("p_size")), F.when(F.col("p_size") % 3 == 0, 50), F.lit(10)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("pk"), F.coalesce(cam, tag, file).cast("int").alias("nx"))
+    """Images from files: size from the camera where one is given, else from the file's tags; time from the tags."""
+    tags = E.fields(E.read_tags(_made(spark, sf))).select(_key(), F.col("nx").alias("tag_nx"), F.col("ny").alias("tag_ny"), "ts")
+    given = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("pk"), (F.col("p_partkey") % 5).cast("int").alias("cam_id"))
+    cams = given.join(cameras(spark, sf).select("cam_id", "nx", "ny"), "cam_id")
+    return tags.join(cams, "pk", "left").select("pk", F.coalesce("nx", "tag_nx").cast("int").alias("nx"), F.coalesce("ny", "tag_ny").cast("int").alias("ny"), "ts")
 
 
 # ---- drawings

@@ -430,8 +430,20 @@ def cameras_sparsity(spark, sf):
     return dep.select("control", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: (F.col("cam_id") * 3 + p).cast("long"))).alias("param")).distinct()
 
 
-@query(f"WITH {CAM} SELECT cam_id, nx > 0 AND ny > 0 AND fx > 0 AND fy > 0 AS valid FROM cam")
+@query(
+    """WITH cams AS (SELECT n_nationkey AS cam_id, 400 + n_nationkey % 7 // 6 AS nx, CASE WHEN n_nationkey % 3 = 0 THEN ['viewdir'] ELSE [] END AS params FROM nation),
+g AS (SELECT n_regionkey AS group_id, n_nationkey AS cam_id, CASE WHEN n_regionkey % 2 = 0 THEN ['f', 'k'] ELSE ['p'] END AS params FROM nation UNION ALL SELECT 10 + n_nationkey % 2, n_nationkey, ['k'] FROM nation WHERE n_nationkey < 4),
+c AS (SELECT s_suppkey AS control, s_suppkey % 23 AS cam_id FROM supplier), sh AS (SELECT cam_id, group_id, unnest(params) AS p FROM g)
+SELECT 'image sizes' AS error, group_id::BIGINT AS id FROM g JOIN cams USING (cam_id) WHERE list_contains(g.params, 'f') GROUP BY group_id HAVING count(DISTINCT nx) > 1
+UNION ALL SELECT DISTINCT 'groups overlap', a.cam_id::BIGINT FROM sh a JOIN sh b ON a.cam_id = b.cam_id AND a.p = b.p AND a.group_id < b.group_id
+UNION ALL SELECT DISTINCT 'not in controls', cam_id::BIGINT FROM (SELECT cam_id FROM cams WHERE len(params) > 0 UNION SELECT cam_id FROM g) WHERE cam_id NOT IN (SELECT cam_id FROM c)"""
+)
 def cameras_validate(spark, sf):
-    return cameras(spark, sf).select("cam_id", F.expr("nx > 0 AND ny > 0 AND fx > 0 AND fy > 0").alias("valid"))
-
-
+    """Cameras and groups that a fit could not handle, of one camera a nation in groups by region, and two groups more."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    n, words = table(spark, sf, "nation"), lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    cams = n.select(k.alias("cam_id"), (400 + F.floor(k % 7 / 6)).alias("nx"), F.lit(300).alias("ny"), F.when(k % 3 == 0, words("viewdir")).otherwise(words()).alias("params"))
+    groups = n.select(r.alias("group_id"), k.alias("cam_id"), F.when(r % 2 == 0, words("f", "k")).otherwise(words("p")).alias("params"))
+    groups = groups.unionByName(n.where(k < 4).select((10 + k % 2).alias("group_id"), k.alias("cam_id"), words("k").alias("params")))
+    controls = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("control"), (F.col("s_suppkey") % 23).alias("cam_id"))
+    return K.inconsistencies(cams, groups, controls)

@@ -98,47 +98,50 @@ def sample_points(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_retailprice") - 900.0).alias("x"), (F.col("p_size") * 0.65).alias("y"))
 
 
-def _one(spark, sf):
-    return cells(spark, sf).where("raster_id = 1").select("row", "col", "z")
+def _everywhere(spark, sf):
+    """The sample points in every raster."""
+    rasters = cells(spark, sf).select("raster_id").distinct()
+    p = sample_points(spark, sf).crossJoin(rasters)
+    return p.withColumns({"part": F.col("pid"), "pid": F.struct("pid", "raster_id")})
 
 
 @query(
     f"""WITH {C}, {_SP}, rc AS (SELECT pid, (33 - y) / 3 - 0.5 AS r, x / 2 - 0.5 AS c FROM pt), lo AS (SELECT *, least(floor(r), 9)::BIGINT AS r0, least(floor(c), 48)::BIGINT AS c0 FROM rc WHERE r >= 0 AND c >= 0 AND r <= 10 AND c <= 49),
-o AS (SELECT * FROM cells WHERE raster_id = 1), v AS (SELECT pid, (1 - (r - r0)) * (1 - (c - c0)) * a.z + (1 - (r - r0)) * (c - c0) * b.z + (r - r0) * (1 - (c - c0)) * d.z + (r - r0) * (c - c0) * e.z AS value
-  FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.row = r0 + 1 AND e.col = c0 + 1)
-SELECT pid, {sql6('value')} AS value FROM pt LEFT JOIN v USING (pid)"""
+o AS (SELECT * FROM cells), v AS (SELECT pid, a.raster_id, (1 - (r - r0)) * (1 - (c - c0)) * a.z + (1 - (r - r0)) * (c - c0) * b.z + (r - r0) * (1 - (c - c0)) * d.z + (r - r0) * (c - c0) * e.z AS value
+  FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.raster_id = a.raster_id AND b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.raster_id = a.raster_id AND d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.raster_id = a.raster_id AND e.row = r0 + 1 AND e.col = c0 + 1)
+SELECT raster_id, pid, {sql6('value')} AS value FROM pt CROSS JOIN (SELECT DISTINCT raster_id FROM cells) LEFT JOIN v USING (pid, raster_id)"""
 )
 def raster_sample(spark, sf):
-    return O.sample(sample_points(spark, sf), _one(spark, sf), GRID).select("pid", r6(F.col("value")).alias("value"))
+    return O.sample(_everywhere(spark, sf), cells(spark, sf), GRID, keys=["raster_id"]).select("raster_id", F.col("part").alias("pid"), r6(F.col("value")).alias("value"))
 
 
-@query(f"WITH {C}, {_SP} SELECT pid, z AS value FROM pt LEFT JOIN cells ON raster_id = 1 AND row = least(floor((33 - y) / 3), 10) AND col = least(floor(x / 2), 49)")
+@query(f"WITH {C}, {_SP} SELECT r.raster_id, pid, z AS value FROM pt CROSS JOIN (SELECT DISTINCT raster_id FROM cells) r LEFT JOIN cells ON cells.raster_id = r.raster_id AND row = least(floor((33 - y) / 3), 10) AND col = least(floor(x / 2), 49)")
 def raster_sample_nearest(spark, sf):
-    return O.sample(sample_points(spark, sf), _one(spark, sf), GRID, order=0).select("pid", "value")
+    return O.sample(_everywhere(spark, sf), cells(spark, sf), GRID, order=0, keys=["raster_id"]).select("raster_id", F.col("part").alias("pid"), "value")
 
 
-_RES = f"""{C}, o AS (SELECT * FROM cells WHERE raster_id = 1), t AS (SELECT r AS row, c AS col, (33 - (24 - (r + 0.5::DOUBLE) * 1.5)) / 3 - 0.5 AS fr, (10 + (c + 0.5::DOUBLE) * 2.5) / 2 - 0.5 AS fc FROM range(0, 8) a(r), range(0, 24) b(c)),
+_RES = f"""{C}, o AS (SELECT * FROM cells), t AS (SELECT r AS row, c AS col, (33 - (24 - (r + 0.5::DOUBLE) * 1.5)) / 3 - 0.5 AS fr, (10 + (c + 0.5::DOUBLE) * 2.5) / 2 - 0.5 AS fc FROM range(0, 8) a(r), range(0, 24) b(c)),
 lo AS (SELECT *, floor(fr)::BIGINT AS r0, floor(fc)::BIGINT AS c0 FROM t)
-SELECT lo.row, lo.col, {sql6('(1 - (fr - r0)) * (1 - (fc - c0)) * a.z + (1 - (fr - r0)) * (fc - c0) * b.z + (fr - r0) * (1 - (fc - c0)) * d.z + (fr - r0) * (fc - c0) * e.z', 11)} AS z
-FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.row = r0 + 1 AND e.col = c0 + 1"""
+SELECT a.raster_id, lo.row, lo.col, {sql6('(1 - (fr - r0)) * (1 - (fc - c0)) * a.z + (1 - (fr - r0)) * (fc - c0) * b.z + (fr - r0) * (1 - (fc - c0)) * d.z + (fr - r0) * (fc - c0) * e.z', 11)} AS z
+FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.raster_id = a.raster_id AND b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.raster_id = a.raster_id AND d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.raster_id = a.raster_id AND e.row = r0 + 1 AND e.col = c0 + 1"""
 
 
 @query(f"WITH {_RES}")
 def raster_resample(spark, sf):
     target = R.of(24, 8, (10.0, 70.0), (24.0, 12.0))
-    return O.resample(_one(spark, sf), GRID, target, 24, 8).select("row", "col", r6(F.col("z"), 11).alias("z"))
+    return O.resample(cells(spark, sf), GRID, target, 24, 8).select("raster_id", "row", "col", r6(F.col("z"), 11).alias("z"))
 
 
 @query(
-    f"""WITH {C}, o AS (SELECT * FROM cells WHERE raster_id = 1), t AS (SELECT r AS row, c AS col, (r + 0.5::DOUBLE) * 11 / 22 - 0.5 AS fr, (c + 0.5::DOUBLE) * 50 / 100 - 0.5 AS fc FROM range(0, 22) a(r), range(0, 100) b(c)),
+    f"""WITH {C}, o AS (SELECT * FROM cells), t AS (SELECT r AS row, c AS col, (r + 0.5::DOUBLE) * 11 / 22 - 0.5 AS fr, (c + 0.5::DOUBLE) * 50 / 100 - 0.5 AS fc FROM range(0, 22) a(r), range(0, 100) b(c)),
 lo AS (SELECT *, least(floor(fr), 9)::BIGINT AS r0, least(floor(fc), 48)::BIGINT AS c0 FROM t WHERE fr >= 0 AND fr <= 10 AND fc >= 0 AND fc <= 49),
-v AS (SELECT lo.row, lo.col, (1 - (fr - r0)) * (1 - (fc - c0)) * a.z + (1 - (fr - r0)) * (fc - c0) * b.z + (fr - r0) * (1 - (fc - c0)) * d.z + (fr - r0) * (fc - c0) * e.z AS z
-FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.row = r0 + 1 AND e.col = c0 + 1)
-SELECT t.row, t.col, {sql6('z', 11)} AS z FROM t LEFT JOIN v USING (row, col)"""
+v AS (SELECT a.raster_id, lo.row, lo.col, (1 - (fr - r0)) * (1 - (fc - c0)) * a.z + (1 - (fr - r0)) * (fc - c0) * b.z + (fr - r0) * (1 - (fc - c0)) * d.z + (fr - r0) * (fc - c0) * e.z AS z
+FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.raster_id = a.raster_id AND b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.raster_id = a.raster_id AND d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.raster_id = a.raster_id AND e.row = r0 + 1 AND e.col = c0 + 1)
+SELECT raster_id, t.row, t.col, {sql6('z', 11)} AS z FROM t CROSS JOIN (SELECT DISTINCT raster_id FROM cells) LEFT JOIN v USING (raster_id, row, col)"""
 )
 def raster_resize(spark, sf):
     """Twice the size, bilinear; NULL outside the outermost centres."""
-    return O.resample(_one(spark, sf), GRID, R.of(100, 22, (0.0, 100.0), (33.0, 0.0)), 100, 22).select("row", "col", r6(F.col("z"), 11).alias("z"))
+    return O.resample(cells(spark, sf), GRID, R.of(100, 22, (0.0, 100.0), (33.0, 0.0)), 100, 22).select("raster_id", "row", "col", r6(F.col("z"), 11).alias("z"))
 
 
 @query(f"WITH {C} SELECT raster_id, row, col, (col + 0.5::DOUBLE) * 2 + 10 AS x, 33 - (row + 0.5::DOUBLE) * 3 - 4 AS y, {sql6('z + 100')} AS z FROM cells")
@@ -196,10 +199,15 @@ def median_highpass(spark, sf):
     return _out(O.median_highpass(cells(spark, sf)), digits=9)
 
 
-@query(f"WITH {C} SELECT raster_id, row, col, CASE WHEN pow(row - 5, 2) + pow(col - 25, 2) <= 20 THEN -1.0 ELSE z END AS z FROM cells")
+#: The rings of radius 4 around cells (row, col) = (5, 25), (1, 2) and (9, 48) as a fixed picture: half widths by row from the centre.
+_DISC = "disc AS (SELECT * FROM (VALUES (-4, 1), (-3, 3), (-2, 3), (-1, 4), (0, 4), (1, 4), (2, 3), (3, 3), (4, 1)) t(d, half), (VALUES (0, 5, 25), (1, 1, 2), (2, 9, 48)) c(raster_id, r, k))"
+
+
+@query(f"WITH {C}, {_DISC} SELECT cells.raster_id, cells.row, cells.col, CASE WHEN d IS NOT NULL THEN -1.0 ELSE z END AS z FROM cells LEFT JOIN disc ON cells.raster_id = disc.raster_id AND cells.row = r + d AND abs(cells.col - k) <= half")
 def fill_circle(spark, sf):
-    inside = F.pow(F.col("row") - 5, F.lit(2)) + F.pow(F.col("col") - 25, F.lit(2)) <= 20
-    return cells(spark, sf).select("raster_id", "row", "col", F.when(inside, -1.0).otherwise(F.col("z")).alias("z"))
+    """A rasterised circle filled from border to border, in each raster another one; what leaves the raster is cut."""
+    circles = spark.createDataFrame([(0, 25, 5, 4), (1, 2, 1, 4), (2, 48, 9, 4)], "raster_id long, x int, y int, r int")
+    return O.fill_circles(cells(spark, sf), circles, -1.0).select("raster_id", "row", "col", "z")
 
 
 @query(f"WITH {C}, t AS (SELECT *, unnest(CASE WHEN row % 4 < 1 AND row // 4 > 0 THEN [row // 4, row // 4 - 1] ELSE [row // 4] END) AS tr FROM cells) SELECT raster_id, row, col, tr AS tile_row, unnest(CASE WHEN col % 16 < 1 AND col // 16 > 0 THEN [col // 16, col // 16 - 1] ELSE [col // 16] END) AS tile_col FROM t")
@@ -268,17 +276,17 @@ def _rays(spark):
     return g.select("ray", "t", F.floor(5 + across + 0.5).cast("long").alias("row"), t.alias("col"), F.sqrt(F.pow(2.0 * t, F.lit(2.0)) + F.pow(3.0 * across, F.lit(2.0))).alias("distance"))
 
 
-_SEEN = f"{C}, {_RAY}, o AS (SELECT * FROM cells WHERE raster_id = 1), eye AS (SELECT z + 2 AS eye FROM o WHERE row = 5 AND col = 0), sl AS (SELECT ray, t, row, col, (z - eye) / distance AS slope FROM rays JOIN o USING (row, col), eye WHERE t > 0)"
+_SEEN = f"{C}, {_RAY}, eye AS (SELECT raster_id, z + 2 AS eye FROM cells WHERE row = 5 AND col = 0), sl AS (SELECT raster_id, ray, t, row, col, (z - eye) / distance AS slope FROM rays JOIN cells USING (row, col) JOIN eye USING (raster_id) WHERE t > 0)"
 
 
-@query(f"WITH {_SEEN}, b AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY slope DESC, t) AS k, max(t) OVER (PARTITION BY ray) AS last FROM sl) SELECT ray, row, col, {sql6('slope')} AS slope FROM b WHERE k = 1 AND t < last")
+@query(f"WITH {_SEEN}, b AS (SELECT *, row_number() OVER (PARTITION BY raster_id, ray ORDER BY slope DESC, t) AS k, max(t) OVER (PARTITION BY raster_id, ray) AS last FROM sl) SELECT raster_id, ray, row, col, {sql6('slope')} AS slope FROM b WHERE k = 1 AND t < last")
 def horizon(spark, sf):
-    return O.horizon(_one(spark, sf), _rays(spark), 2.0).select("ray", "row", "col", r6(F.col("slope")).alias("slope"))
+    return O.horizon(cells(spark, sf), _rays(spark), 2.0).select("raster_id", "ray", "row", "col", r6(F.col("slope")).alias("slope"))
 
 
-@query(f"WITH {_SEEN}, b AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sl) SELECT DISTINCT row, col FROM b WHERE m IS NULL OR slope > m")
+@query(f"WITH {_SEEN}, b AS (SELECT *, max(slope) OVER (PARTITION BY raster_id, ray ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sl) SELECT DISTINCT raster_id, row, col FROM b WHERE m IS NULL OR slope > m")
 def viewshed_rays(spark, sf):
-    return O.visible_along_rays(_one(spark, sf), _rays(spark), 2.0)
+    return O.visible_along_rays(cells(spark, sf), _rays(spark), 2.0)
 
 
 @query()
@@ -289,12 +297,13 @@ def viewshed(spark, sf):
     return O.viewshed_rings(c.join(eye, "raster_id").select("raster_id", "row", "col", "z", "eye_row", "eye_col", "eye_z"), 2.0)
 
 
-@query(f"WITH {_SEEN}, b AS (SELECT *, max(slope) OVER (PARTITION BY ray ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sl), v AS (SELECT DISTINCT row, col FROM b WHERE m IS NULL OR slope > m) SELECT p_partkey AS pid, EXISTS (SELECT 1 FROM v WHERE v.row = p_size % 11 AND v.col = p_partkey % 50) AS valid FROM part")
+@query(f"WITH {_SEEN}, b AS (SELECT *, max(slope) OVER (PARTITION BY raster_id, ray ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sl), v AS (SELECT DISTINCT raster_id, row, col FROM b WHERE m IS NULL OR slope > m) SELECT r.raster_id, p_partkey AS pid, EXISTS (SELECT 1 FROM v WHERE v.raster_id = r.raster_id AND v.row = p_size % 11 AND v.col = p_partkey % 50) AS valid FROM part, (SELECT DISTINCT raster_id FROM cells) r")
 def viewshed_validity(spark, sf):
     """Particles in cells that can be seen."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), (F.col("p_size") % 11).cast("long").alias("row"), (F.col("p_partkey") % 50).alias("col"))
-    seen = O.visible_along_rays(_one(spark, sf), _rays(spark), 2.0).withColumn("valid", F.lit(True))
-    return p.join(seen, ["row", "col"], "left").select("pid", F.coalesce("valid", F.lit(False)).alias("valid"))
+    seen = O.visible_along_rays(cells(spark, sf), _rays(spark), 2.0).withColumn("valid", F.lit(True))
+    p = p.crossJoin(cells(spark, sf).select("raster_id").distinct())
+    return p.join(seen, ["raster_id", "row", "col"], "left").select("raster_id", "pid", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 @query("WITH RECURSIVE d(r) AS (SELECT 1) SELECT c_custkey AS ck, floor(sqrt(pow(c_nationkey - 12, 2) + pow(c_acctbal / 1000, 2)) + 0.5)::BIGINT AS ring, row_number() OVER (ORDER BY floor(sqrt(pow(c_nationkey - 12, 2) + pow(c_acctbal / 1000, 2)) + 0.5), atan2(c_nationkey - 12, c_acctbal / 1000), c_custkey)::INT AS place FROM customer")

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names, or below one made for the purpose."""
+    """A new folder below the shared one that the session names; only a local master, whose executors are the driver's
+    threads, may go without one and gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
