@@ -200,7 +200,7 @@ def median_highpass(spark, sf):
 
 
 #: The rings of radius 4 around cells (row, col) = (5, 25), (1, 2) and (9, 48) as a fixed picture: half widths by row from the centre.
-_DISC = "disc AS (SELECT * FROM (VALUES (-4, 1), (-3, 3), (-2, 3), (-1, 4), (0, 4), (1, 4), (2, 3), (3, 3), (4, 1)) t(d, half), (VALUES (0, 5, 25), (1, 1, 2), (2, 9, 48)) c(raster_id, r, k))"
+_DISC = "disc AS (SELECT * FROM (VALUES (-4, 2), (-3, 3), (-2, 4), (-1, 4), (0, 4), (1, 4), (2, 4), (3, 3), (4, 2)) t(d, half), (VALUES (0, 5, 25), (1, 1, 2), (2, 9, 48)) c(raster_id, r, k))"
 
 
 @query(f"WITH {C}, {_DISC} SELECT cells.raster_id, cells.row, cells.col, CASE WHEN d IS NOT NULL THEN -1.0 ELSE z END AS z FROM cells LEFT JOIN disc ON cells.raster_id = disc.raster_id AND cells.row = r + d AND abs(cells.col - k) <= half")
