@@ -400,6 +400,33 @@ def test_agenda_equals_the_library():
     assert [codec.decode(i) for i in odd] == [codec.library.decode(i) for i in odd]
 
 
+def test_differences_are_remembered():
+    with open(model(), "rb") as f:
+        codec = Codec(f.read())
+    codec.merge = lambda unit, merge=codec.merge: (0,) if unit == "▁nation" else merge(unit)
+    assert [codec.encode(t)[1] for t in (["a nation"], ["a nation again"], ["a"])] == [1, 1, 0]
+
+
+def test_risk_falls_along_its_gradient(monkeypatch):
+    """The fit's risk, written out plainly, is lower than where it starts and flat where it ends."""
+    rng = np.random.default_rng(5)
+    pos, web = rng.normal(0, 1, (300, 4)), np.concatenate([rng.normal(0, 1, (300, 4)), rng.normal(1.2, 1, (300, 4))])
+
+    def risk(m):
+        f = lambda x: np.tanh(np.clip((x - m["mean"]) / m["std"], -8, 8) @ m["params"][0] + m["params"][1]) @ m["params"][2] + m["params"][3]
+        negative = np.log1p(np.exp(f(web))).mean() - m["prior"] * np.log1p(np.exp(f(pos))).mean()
+        return m["prior"] * np.log1p(np.exp(-f(pos))).mean() + max(0.0, negative)
+
+    values = []
+    for epochs in (0, 50, 400):
+        monkeypatch.setattr(quality_classifier, "EPOCHS", epochs)
+        values.append(risk(quality_classifier.fit(pos, web, 0.5)))
+    assert values[0] > values[1] >= values[2] - 1e-3
+    model = quality_classifier.fit(pos, web, 0.5)
+    good, bad = quality_classifier.apply(model, rng.normal(0, 1, (500, 4))), quality_classifier.apply(model, rng.normal(1.2, 1, (500, 4)))
+    assert np.mean(good[:, None] > bad[None, :]) > 0.85  # noisy classes that overlap
+
+
 def test_tokens_of_a_table(spark, corpus):
     import sentencepiece
 
