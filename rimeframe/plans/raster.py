@@ -109,10 +109,10 @@ def _everywhere(spark, sf):
     f"""WITH {C}, {_SP}, rc AS (SELECT pid, (33 - y) / 3 - 0.5 AS r, x / 2 - 0.5 AS c FROM pt), lo AS (SELECT *, least(floor(r), 9)::BIGINT AS r0, least(floor(c), 48)::BIGINT AS c0 FROM rc WHERE r >= 0 AND c >= 0 AND r <= 10 AND c <= 49),
 o AS (SELECT * FROM cells), v AS (SELECT pid, a.raster_id, (1 - (r - r0)) * (1 - (c - c0)) * a.z + (1 - (r - r0)) * (c - c0) * b.z + (r - r0) * (1 - (c - c0)) * d.z + (r - r0) * (c - c0) * e.z AS value
   FROM lo JOIN o a ON a.row = r0 AND a.col = c0 JOIN o b ON b.raster_id = a.raster_id AND b.row = r0 AND b.col = c0 + 1 JOIN o d ON d.raster_id = a.raster_id AND d.row = r0 + 1 AND d.col = c0 JOIN o e ON e.raster_id = a.raster_id AND e.row = r0 + 1 AND e.col = c0 + 1)
-SELECT raster_id, pid, {sql6('value')} AS value FROM pt CROSS JOIN (SELECT DISTINCT raster_id FROM cells) LEFT JOIN v USING (pid, raster_id)"""
+SELECT raster_id, pid, {sql6('value', 11)} AS value FROM pt CROSS JOIN (SELECT DISTINCT raster_id FROM cells) LEFT JOIN v USING (pid, raster_id)"""
 )
 def raster_sample(spark, sf):
-    return O.sample(_everywhere(spark, sf), cells(spark, sf), GRID, keys=["raster_id"]).select("raster_id", F.col("part").alias("pid"), r6(F.col("value")).alias("value"))
+    return O.sample(_everywhere(spark, sf), cells(spark, sf), GRID, keys=["raster_id"]).select("raster_id", F.col("part").alias("pid"), r6(F.col("value"), 11).alias("value"))
 
 
 @query(f"WITH {C}, {_SP} SELECT r.raster_id, pid, z AS value FROM pt CROSS JOIN (SELECT DISTINCT raster_id FROM cells) r LEFT JOIN cells ON cells.raster_id = r.raster_id AND row = least(floor((33 - y) / 3), 10) AND col = least(floor(x / 2), 49)")
