@@ -7,12 +7,12 @@ difference cover of 6 residues.  For any two places there is a shift below 31 th
 windows of 50 words always share an anchor at the same offset (30 + 20 = 50).  Anchor hashes are counted; those of a single
 document are dropped.  Around each shared anchor the 50-word windows that hold it are the only candidates; the match is
 extended by hashing them whole (128 bits), and each hash's smallest doc_id decides.  Counting and deciding are
-aggregations, so a passage that a third of all documents share is combined before it is shuffled, and the way back to the
-documents is a join whose hot side can be split.  Whole copies are found first by the hash of their words: all but the
-smallest doc_id lose every word and need no windows.
+aggregations, so a passage that a third of all documents share is combined before it is shuffled.  Texts are dealt by doc_id
+once, into a bucketed table; anchors and windows come to them there, and no text is shuffled again.  Whole copies are found
+first by the hash of their words: all but the smallest doc_id lose every word and need no windows.
 
 Edge cases: null and empty texts have no words; texts under 50 words lose nothing; rows repeated with one doc_id don't
-remove each other's words, since neither doc_id is smaller; rows without a doc_id are not compared and lose nothing; other
+remove each other's words, since neither doc_id is smaller, and different texts with one doc_id are judged each; rows without a doc_id are not compared and lose nothing; other
 columns are ignored; an empty table gives no rows.  Long texts are one value of one row.
 """
 
@@ -32,6 +32,8 @@ from ._windows import covered, distinct_pairs, runs, window_hashes
 WINDOW = 50
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Texts are dealt into buckets of about so many bytes of the files, at most Spark's bound on their number.
+BUCKET_BYTES, MAX_BUCKETS = 64 << 20, 100_000
 
 
 def cover_mask(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndarray:
@@ -79,23 +81,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _profile(batches):
-    for part in slices(batches):
-        words = [words_of(t) for t in part.column("text").to_pylist()]
-        yield _batch(
-            doc_id=part.column("doc_id").cast(pa.int64()),
-            n_words=pa.array([len(w) for w in words], pa.int64()),
-            whole=pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
-        )
-
-
-def _anchors(batches):
     for part in slices(batches):
         run = Run(part)
         at, hashes = run.anchors()
         row = run.row[at]
         one = distinct_pairs(row, hashes)
-        doc = part.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-        yield _batch(doc_id=pa.array(doc[row[one]]), anchor=_signed(hashes[one]))
+        ends = np.searchsorted(row[one], np.arange(len(run.words) + 1))
+        yield _batch(
+            doc_id=part.column("doc_id").cast(pa.int64()),
+            n_words=pa.array([len(w) for w in run.words], pa.int64()),
+            whole=pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in run.words], pa.string()),
+            anchors=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(hashes[one])),
+        )
 
 
 def _candidates(batches):
@@ -146,26 +143,43 @@ def _removals(batches):
         )
 
 
+def _buckets(docs: DataFrame) -> int:
+    """So many that one holds about BUCKET_BYTES of the table's files, but no fewer than the session's partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES), MAX_BUCKETS)
+
+
 def find_repeats(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles (``doc_id, n_words, whole``), whole copies (``doc_id``) and changed documents (``doc_id, whole, n_removed,
-    kept, spans``: the words left, joined by spaces, and the places removed)."""
+    """Profiles (``doc_id, n_words, whole``), whole copies (``doc_id, whole``) and changed documents (``doc_id, whole,
+    n_removed, kept, spans``: the words left, joined by spaces, and the places removed).
+
+    Texts are dealt by doc_id once, as a bucketed table; the joins that bring anchors and windows to them move only those.
+    """
     texts = docs.select("doc_id", "text")
-    profile = store.keep(texts.mapInArrow(_profile, "doc_id long, n_words long, whole string"), "profile")
-    owner = profile.where(f"n_words >= {WINDOW} AND doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    read = store.keep(texts.mapInArrow(_profile, "doc_id long, n_words long, whole string, anchors array<long>"), "read")
+    comparable = read.where(f"n_words >= {WINDOW} AND doc_id IS NOT NULL")
+    owner = comparable.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     owner = store.keep(owner.select(F.col("whole").alias("same"), "first"), "owner")
-    copies = store.keep(profile.join(owner, F.col("whole") == F.col("same")).where("doc_id > first").select("doc_id").distinct(), "copies")
-    fresh = texts.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    anchors = fresh.mapInArrow(_anchors, "doc_id long, anchor long")
+    copies = comparable.select("doc_id", "whole").join(owner, F.col("whole") == F.col("same")).where("doc_id > first")
+    # Not made distinct here: that would put an aggregation behind the exchange of a hot ``whole``, which then can't be split.
+    copies = store.keep(copies.select("doc_id", "whole"), "copies").distinct()
+    fresh = store.keep(comparable.join(copies, ["doc_id", "whole"], "left_anti").select("doc_id", "anchors"), "fresh")
+    profile = store.keep(read.drop("anchors"), "profile")
+    store.drop("read")
+    anchors = fresh.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = store.keep(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     hits = store.keep(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "hits")
-    store.drop("shared")
-    windows = store.keep(texts.join(hits, "doc_id").mapInArrow(_candidates, "doc_id long, k1 long, k2 long"), "windows")
+    store.drop("shared", "fresh")
+    # A text of WINDOW words has at least as many characters and a white space between each two.
+    dealt = texts.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    dealt = store.keep_bucketed(dealt, "texts", "doc_id", _buckets(docs))
+    windows = store.keep(dealt.join(hits, "doc_id").mapInArrow(_candidates, "doc_id long, k1 long, k2 long"), "windows")
     store.drop("hits")
     first = store.keep(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first"), "first")
     later = windows.join(first, ["k1", "k2"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_list("k1").alias("windows"))
     later = store.keep(later, "later")
     store.drop("windows", "first")
-    changed = texts.join(later, "doc_id").mapInArrow(
+    changed = dealt.join(later, "doc_id").mapInArrow(
         _removals, "doc_id long, whole string, n_removed long, kept string, spans array<struct<begin: long, end: long>>"
     )
     return profile, copies, changed
@@ -179,7 +193,7 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     profile, copies, changed = find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), store)
     digest = changed.select("doc_id", "whole", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "whole"])
     digest = store.keep(digest, "digest")
-    out = profile.join(digest, ["doc_id", "whole"], "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    out = profile.join(digest, ["doc_id", "whole"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "whole"], "left")
     gone = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= WINDOW)
     return store.done(
         out.select(

@@ -97,6 +97,15 @@ def test_whole_copies_lose_everything(spark, tables):
         assert rows[6].n_removed >= unit and rows[10].n_removed == 0 and rows[None].n_removed == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark, tmp_path):
+    """Each text is judged by itself: a copy under an id takes nothing from the id's other text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, f"{b} {a}"), (5, c), (7, f"{c} end"), (-(1 << 63), c), (None, a)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.op1_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(3, 60, 0), (5, 60, 60), (5, 120, 60), (5, 60, 60), (7, 61, 60), (-(1 << 63), 60, 0), (None, 60, 0)], key=str)
+
+
 def test_exact_groups(spark, tables):
     rows = {r.doc_id: r for r in exact_dedup.find_copies(spark.read.parquet(f"{tables['plain']}/documents.parquet")).collect()}
     assert rows[2].kept and rows[2].group_size == 3 and rows[0].keep_id == 2  # white space only: the longest stays
@@ -129,6 +138,22 @@ def test_texts_stay_where_they_are(spark, tmp_path, op):
     assert 0 < shuffled(spark) - before < 0.5 * sum(len(t) for _, t in rows)
 
 
+def test_substring_dedup_deals_texts_once(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(map(str, rng.integers(1 << 59, 1 << 60, n).tolist()))
+    shared = text(60)
+    rows = [(i, f"{text(400)} {shared} {text(400)}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before, old = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = substring_dedup.op1_substring_dedup(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum(r.n_removed for r in got) == 60 * 199
+    assert 0 < shuffled(spark) - before < 1.5 * sum(len(t) for _, t in rows)
+
+
 def shuffled(spark) -> int:
     """Bytes written to shuffles so far."""
     sc = spark.sparkContext
