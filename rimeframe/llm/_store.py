@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: While a table is written: shuffle files go with the query that made them, and Arrow batches to Python are small, since
 #: their buffers lie outside the executor's heap.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
