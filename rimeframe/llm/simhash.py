@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import slices
+from ._shingles import shingles, word_hashes
 from ._store import Store, without_ids
 from .components import components
 
@@ -237,7 +238,7 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
         for part in slices(batches):
             for t in part.column("text").to_pylist():
-                own = np.unique(shingle_hashes(t, words))
+                own = np.unique(shingles(word_hashes(t), words))
                 held.append(own)
                 size += len(own)
                 if size >= RUN:
@@ -291,8 +292,9 @@ def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
         for part in slices(batches):
             fp, sig, size, first, odd = [], [], [], [], []
             for t in part.column("text").to_pylist():
-                own = np.unique(shingle_hashes(t, words))
-                fp.append(fingerprint(shingle_hashes(t, shingle)))
+                hashes = word_hashes(t)
+                own = np.unique(shingles(hashes, words))
+                fp.append(fingerprint(shingles(hashes, shingle)))
                 sig.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 size.append(len(own))
                 first.append(prefix(own, last, rank, similarity).view(np.int64))
@@ -335,7 +337,7 @@ def meetings(store: Store, nodes: DataFrame, similarity: float, beyond: int) ->
 def _sets(words: int):
     def run(batches):
         for part in slices(batches):
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
+            sets = [np.unique(shingles(word_hashes(t), words)).view(np.int64) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return run
