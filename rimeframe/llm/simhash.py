@@ -216,7 +216,7 @@ def find_near(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFrame:
 
 
 #: Bits at which candidates are sought, one level after the other.
-LEVELS = (3, 5, 7, 8)
+LEVELS = (3, 5, 7)
 #: Shingles are counted in runs of so many; those that FEW documents of a run have are added up, at most FREQUENT are used.
 RUN, FEW, FREQUENT = 250_000, 5, 200_000
 #: A prefix is longer by one shingle for each so many of the set, and may do without that many times DROPPED of them.
