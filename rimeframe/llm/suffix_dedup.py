@@ -3,10 +3,11 @@
 A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller doc_id.
 
 A global index would need every document in one place; here the content itself says where strings meet.  The minimizer of a
-50-byte window is its 16-byte string of least hash, leftmost among equals, so equal windows have equal minimizers.
+50-byte window is its 24-byte string of least hash, leftmost among equals, so equal windows have equal minimizers.
 Minimizers are counted, those of one document are dropped.  Neighbouring windows with one minimizer form a segment of at
-most 84 bytes, and segments are dealt by minimizer: all occurrences of a window meet in one shard.  Equal segments are
-combined before the shuffle (least and greatest doc_id).  A task takes its shards one after the other.  The segments that
+most 76 bytes, and segments are dealt by minimizer: all occurrences of a window meet in one shard.  Equal segments are
+combined before the shuffle (least and greatest doc_id).  A task takes its shards one after the other.  Segments that share
+the bytes on neither side of the minimizer with another one hold no window of another one and are left out.  Those that
 another one's documents could lose bytes to are the reference texts: a run-length index (``run_length_index.py``) is built
 over them.  Every segment that could lose something is streamed through it, whether it is a reference itself or not; its
 matching statistics tell for each place with a match of 50 bytes the least doc_id that has it.  Marks of neighbouring windows
@@ -36,24 +37,28 @@ from pyspark.sql import functions as F
 
 from ._arrow import slices
 from ._store import Store
-from ._windows import runs
 from .run_length_index import RunLengthIndex, words_at
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 #: Reference texts of one index, and texts of one pass over windows.
 INDEX_BYTES, SLICE = 1 << 19, 1 << 17
+#: Of the bytes a window has beside its minimizer, at least so many stand on one side.
+SIDE = (WINDOW - GRAM) // 2
+#: Shards are split by what stands around the minimizer's first bytes.
+ANCHOR = 16
 #: Shards of more segments, which fill half an index, are split, by so many bytes at a time around the minimizer.
 HOT, QUANTA = INDEX_BYTES // (2 * (2 * WINDOW - GRAM)), (8, 1)
 
 
 def grams(text: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM (16) bytes from each place, of an array of bytes: two words of eight, mixed."""
+    """A hash of the GRAM (24) bytes from each place, of an array of bytes: three words of eight, mixed."""
     n = len(text)
     if n < GRAM:
         return np.empty(0, np.uint64)
     word = words_at(text)
-    out = word[: n - 15] * np.uint64(0x9E3779B97F4A7C15)
-    out += word[8 : n - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = word[: n - 23] * np.uint64(0x9E3779B97F4A7C15)
+    out += word[8 : n - 15] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out += word[16 : n - 7] * np.uint64(0x165667B19E3779F9)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x7FB5D329728EA185)
     out ^= out >> np.uint64(29)
@@ -211,22 +216,43 @@ def _indexed(part: pa.RecordBatch) -> pa.RecordBatch:
     return _batch(shard=part.column("shard").take(rows), segment=part.column("segment").take(rows), owners=_lists(owner[inside & useful[:, None]], windows[useful]))
 
 
+def partnered(rows: pa.RecordBatch, shard: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which rows may share a window with another one of their shard: those whose SIDE bytes before or behind the minimizer
+    another one has, too, since a shared window reaches that far on one side.  Rows without ``gram``: all of shards of several."""
+
+    def repeated(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        order = at[np.lexsort((key[at], shard[at]))]
+        same = (shard[order[1:]] == shard[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        return order[(np.append(False, same) | np.append(same, False))[: len(order)]]
+
+    out = np.zeros(len(shard), bool)
+    if "gram" not in rows.schema.names:
+        out[repeated(np.arange(len(shard)), np.zeros(len(shard)))] = True
+        return out
+    begin = np.cumsum(sizes) - sizes
+    gram = rows.column("gram").to_numpy()
+    word = words_at(np.frombuffer(b"".join(rows.column("segment").to_pylist()), np.uint8))
+    for at, place in ((np.flatnonzero(gram >= SIDE), gram - SIDE), (np.flatnonzero(gram + GRAM + SIDE <= sizes), gram + GRAM)):
+        key = np.zeros(len(shard), np.uint64)
+        start = (begin + place)[at]
+        key[at] = word[start] * np.uint64(0x9E3779B97F4A7C15) + word[start + SIDE - 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out[repeated(at, key)] = True
+    return out
+
+
 def _owners(batches):
-    """Rows (shard, segment, first, last) in order of shard, as (shard, segment, owners)."""
+    """Rows (shard, segment, gram, first, last) in order of shard, as (shard, segment, owners)."""
 
     def done(rows: pa.RecordBatch):
         shard = rows.column("shard").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        group = np.diff(cuts)
-        # A segment alone in its shard shares no window with another one and needs no index.
-        alone = cuts[:-1][group == 1]
+        sizes = pc.binary_length(rows.column("segment")).to_numpy().astype(np.int64)
+        many = partnered(rows, shard, sizes)
+        # A segment that shares no window with another one needs no index.
         first, last = rows.column("first").to_numpy(), rows.column("last").to_numpy()
-        alone = alone[first[alone] < last[alone]]
-        sizes = pc.binary_length(rows.column("segment")).to_numpy()
+        alone = np.flatnonzero(~many & (first < last))
         windows = sizes[alone] - WINDOW + 1
         at = pa.array(alone)
         yield _batch(shard=rows.column("shard").take(at), segment=rows.column("segment").take(at), owners=_lists(np.repeat(first[alone], windows), windows))
-        many = np.repeat(group > 1, group)
         rows, sizes, shard = rows.filter(pa.array(many)), sizes[many], shard[many]
         if not len(shard):
             return
@@ -241,18 +267,21 @@ def _owners(batches):
             start = int(ends[k])
 
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        shard = batch.column("shard").to_numpy()
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("segment"))).as_py()
+        if size < INDEX_BYTES:
+            continue
+        whole = pa.concat_batches(held)
+        shard = whole.column("shard").to_numpy()
         border = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
-        if border or held and held[-1].column("shard")[-1].as_py() != shard[0]:
-            held.append(batch.slice(0, border))
-            whole = pa.concat_batches([h for h in held if h.num_rows] or [batch.slice(0, 0)])
-            if whole.num_rows:
-                yield from done(whole)
-            held = []
-        held.append(batch.slice(border))
+        if border:
+            yield from done(whole.slice(0, border))
+        held = [whole.slice(border)]
+        size = pc.sum(pc.binary_length(held[0].column("segment"))).as_py()
     if held:
         yield from done(pa.concat_batches(held))
 
@@ -269,10 +298,10 @@ def _split(quantum: int):
                 windows, begin = len(segment) - WINDOW + 1, 0
                 while begin < windows:
                     before = gram - begin
-                    after = WINDOW - GRAM - before
+                    after = WINDOW - ANCHOR - before
                     left, right = before // quantum * quantum, after // quantum * quantum
                     end = min(windows, begin + min(before - left, quantum - 1 - (after - right)) + 1)
-                    key = xxhash.xxh64_intdigest(segment[gram - left : gram + GRAM + right] + bytes([left, right])) - (1 << 63)
+                    key = xxhash.xxh64_intdigest(segment[gram - left : gram + ANCHOR + right] + bytes([left, right])) - (1 << 63)
                     out.append((number, begin, key, segment[begin : end - 1 + WINDOW], before, first, last))
                     begin = end
             if out:
@@ -290,7 +319,7 @@ def least_owners(store: Store, distinct: DataFrame, quanta: tuple[int, ...] = QU
     level = len(QUANTA) - len(quanta)
 
     def indexed(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("shard", "segment", "first", "last").repartition("shard").sortWithinPartitions("shard", "first")
+        dealt = rows.select("shard", "segment", "gram", "first", "last").repartition("shard").sortWithinPartitions("shard", "first")
         return dealt.mapInArrow(_owners, "shard long, segment binary, owners array<long>").select("shard", "segment", F.lit(0).alias("at"), "owners")
 
     if not quanta:
@@ -328,22 +357,32 @@ def _marks(batches):
         )
 
 
+def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that byte ranges, in any order, cover."""
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))[: len(begin)]
+    return begin[new], end[np.append(new[1:], len(end)) - 1] if len(new) else end
+
+
 def _removals(batches):
     for part in slices(batches):
-        out = []
-        for text, marks in zip(_bytes(part), part.column("marks").to_pylist()):
-            edge = np.zeros(len(text) + 1, np.int32)
-            ok = [m for m in marks if m["end"] <= len(text)]
-            np.add.at(edge, [m["begin"] for m in ok], 1)
-            np.add.at(edge, [m["end"] for m in ok], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            begin, end = runs(gone)
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((hashlib.sha256(text).hexdigest(), int(gone.sum()), kept, [{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist())]))
-        whole, removed, kept, spans = zip(*out)
+        texts, marks = _bytes(part), part.column("marks")
+        offsets = marks.offsets.to_numpy()
+        begin, end = (marks.values.field(c).to_numpy() for c in ("begin", "end"))
+        removed, kept, begins, ends = [], [], [], []
+        for text, i, j in zip(texts, offsets[:-1], offsets[1:]):
+            ok = end[i:j] <= len(text)
+            a, b = _merged(begin[i:j][ok], end[i:j][ok])
+            removed.append(int((b - a).sum()))
+            kept.append(b"".join([text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)])]))
+            begins.append(a)
+            ends.append(b)
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (begins, ends)], names=["begin", "end"])
+        bounds = np.concatenate([[0], np.cumsum([len(a) for a in begins])]).astype(np.int32)
         yield _batch(
-            doc_id=part.column("doc_id").cast(pa.int64()), whole=pa.array(whole, pa.string()), n_removed=pa.array(removed, pa.int64()), kept=pa.array(kept, pa.binary()),
-            spans=pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+            doc_id=part.column("doc_id").cast(pa.int64()), whole=pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), n_removed=pa.array(removed, pa.int64()),
+            kept=pa.array(kept, pa.binary()), spans=pa.ListArray.from_arrays(pa.array(bounds), spans),
         )
 
 

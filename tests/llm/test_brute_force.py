@@ -132,6 +132,73 @@ def test_others_are_streamed_through_the_references(monkeypatch):
     assert made and all(jumps > 0 and others > 0 for jumps, others in made)
 
 
+def segment_rows(rows):
+    types = (("shard", pa.int64()), ("segment", pa.binary()), ("gram", pa.int32()), ("first", pa.int64()), ("last", pa.int64()))
+    return suffix_dedup._batch(**{c: pa.array(v, t) for (c, t), v in zip(types, zip(*rows))})
+
+
+def test_small_batches_share_an_index(monkeypatch):
+    """Indexes are as large as INDEX_BYTES says, however few rows a batch brings."""
+    made = []
+
+    class Watched(RunLengthIndex):
+        def __init__(self, texts, *more):
+            made.append(len(texts))
+            super().__init__(texts, *more)
+
+    monkeypatch.setattr(suffix_dedup, "RunLengthIndex", Watched)
+    rows = segment_rows([(shard, s, 0, f, e) for shard, s, f, e in shards(random.Random(4))]).drop_columns(["gram"])
+    got = [[r for b in suffix_dedup._owners(batches) for r in b.to_pylist()] for batches in ([rows], [rows.slice(i, 1) for i in range(rows.num_rows)])]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1])) and len(made) == 2
+
+
+def test_segments_without_a_shared_side_are_not_indexed(monkeypatch):
+    """Segments that have only the minimizer in common are left out of the index; all that share a window are not."""
+    made = []
+
+    class Watched(RunLengthIndex):
+        def __init__(self, texts, *more):
+            made.extend(texts)
+            super().__init__(texts, *more)
+
+        def stream(self, patterns, every=True):
+            made.extend(patterns)
+            return super().stream(patterns, every)
+
+    monkeypatch.setattr(suffix_dedup, "RunLengthIndex", Watched)
+    rng, rows, width = random.Random(5), [], suffix_dedup.WINDOW - suffix_dedup.GRAM
+    for shard in range(300):
+        bases = [bytes(rng.choices(range(256), k=2 * width + suffix_dedup.GRAM)) for _ in range(2)]
+        anchor, segments = bases[0][width : -width], {}
+        for _ in range(rng.randint(2, 5)):
+            base = rng.choice(bases)
+            before, behind = rng.randint(0, width), rng.randint(0, width)
+            if before + behind >= width:
+                segments[base[width - before : width] + anchor + base[-width:][:behind]] = before
+        rows += sorted(((shard, s, g, f := rng.randrange(30), f + rng.choice((0, 0, 3))) for s, g in segments.items()), key=lambda r: r[3])
+    got = {(r["shard"], r["segment"]): r["owners"] for b in suffix_dedup._owners([segment_rows(rows)]) for r in b.to_pylist()}
+    for shard, segment, _, first, last in rows:
+        windows = [segment[k : k + 50] for k in range(len(segment) - 49)]
+        others = [r for r in rows if r[0] == shard and r[1] != segment]
+        want = [min([first, *(r[3] for r in others if w in r[1])]) for w in windows]
+        assert got.get((shard, segment), want) == want and ((shard, segment) in got) == (min(want) < last)
+    partners = {s for shard, s, *_ in rows for r in rows if r[0] == shard and r[1] != s and any(s[k : k + 50] in r[1] for k in range(len(s) - 49))}
+    short = [r for r in rows if r[2] + suffix_dedup.GRAM + 13 > len(r[1])], [r for r in rows if r[2] < 13]
+    for some in (*short, rows[:1]):  # none with a whole side before the minimizer, or behind it
+        assert not some or [*suffix_dedup._owners([segment_rows(some)])]
+    assert len(partners) < len({r[1] for r in rows}) and set(made) < {r[1] for r in rows}
+
+
+def test_removed_ranges_are_merged():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(0, 60)
+        pairs = [(a, a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(n // 8))]
+        gone = {i for a, b in pairs for i in range(a, b)}
+        begin, end = suffix_dedup._merged(*(np.array([p[i] for p in pairs], np.int32) for i in (0, 1)))
+        assert begin.tolist() == sorted(i for i in gone if i - 1 not in gone) and end.tolist() == sorted(i + 1 for i in gone if i + 1 not in gone)
+
+
 def test_minimizers_are_the_leftmost_of_the_least():
     rng = np.random.default_rng(3)
     for most in (3, 50, 1 << 60):
