@@ -6,8 +6,8 @@ since are skipped.  Symbols that end as no piece become byte pieces.  Pieces nev
 character, so a text is cut in front of each run of marks and around characters that occur in no longer piece; units are
 encoded once and remembered in a table of bounded size.
 
-In each Arrow batch, all units not met before are also given to the sentencepiece library in one call, and one whole text
-is.  ``checked`` says whether both agree; should they not, the library's ids are returned.  Decoding maps ids to the bytes of their pieces, joins them and drops the added space.
+In each Arrow batch, all units not met before are also given to the sentencepiece library in one call, and so is every whole
+text.  ``checked`` says whether both agree; where a text's ids do not, the library's are returned.  Decoding maps ids to the bytes of their pieces, joins them and drops the added space.
 
 Edge cases: a null text is encoded as the empty text, which has no ids; repeated rows give repeated rows; any doc_id,
 null included, is passed through; other columns are not read; an empty table gives no rows.
@@ -28,7 +28,6 @@ from ._arrow import slices
 MARK = "▁"
 REMEMBERED = 250_000
 SHORT = 24
-PROBE = 20_000
 NEVER = float("inf")
 
 codecs.register_error("one-by-one", lambda e: ("�", e.start + 1))
@@ -205,12 +204,11 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids, wrong = own.encode(texts)
-            probe = max(range(len(texts)), key=lambda i: (len(texts[i]) <= PROBE, len(texts[i])))
-            agreed = not wrong and ids[probe] == own.library.encode(texts[probe])
-            if not agreed:
-                ids = own.library.encode(texts, num_threads=1)
+            truth = own.library.encode(texts, num_threads=1)
+            agreed = [not wrong and a == b for a, b in zip(ids, truth)]
+            ids = [a if a == b else b for a, b in zip(ids, truth)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string()), pa.array([agreed] * len(ids), pa.bool_())],
+                [part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string()), pa.array(agreed, pa.bool_())],
                 names=["doc_id", "ids", "decoded", "checked"],
             )
 

@@ -502,6 +502,27 @@ def test_tokens_of_a_table(spark, corpus):
         assert r.ids == truth.encode(corpus[0][r.doc_id]) and r.decoded == truth.decode(r.ids) and r.checked
 
 
+def test_every_text_is_held_against_the_library(spark, tmp_path):
+    """A model that composes characters splits a text otherwise than its units, which only the whole text shows."""
+    import sentencepiece
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("aeiostnr", k=rng.randint(2, 6))) for _ in range(300)]
+    lines = [" ".join(rng.choices(words, k=12)) for _ in range(400)] + ["\u00e9a \u00e9 e\u00e9"] * 50
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=str(tmp_path / "nfkc"), model_type="bpe", vocab_size=420, byte_fallback=True, normalization_rule_name="nfkc",
+        remove_extra_whitespaces=False, minloglevel=2,
+    )
+    path = str(tmp_path / "nfkc.model")
+    truth = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["e\u0301", lines[0] * 3, "a e\u0301 b", lines[1]]
+    rows = {r.doc_id: r for r in tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()}
+    assert [rows[i].ids for i in range(4)] == truth.encode(texts)
+    with open(path, "rb") as f:
+        own, wrong = Codec(f.read()).encode(texts)
+    assert not wrong and [rows[i].checked for i in range(4)] == [a == b for a, b in zip(own, truth.encode(texts))] == [False, True, False, True]
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(10)
     rows, labels = [], []
