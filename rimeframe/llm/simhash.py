@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     """XXH64 (seed 42) of every k-word shingle of the text with A-Z lower-cased."""
-    import xxhash
-
     words = text.encode().translate(_LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -221,8 +220,8 @@ LEVELS = (3, 5, 7)
 RUN, FEW, FREQUENT = 250_000, 5, 200_000
 #: A prefix is longer by one shingle for each so many of the set, and may do without that many times DROPPED of them.
 SPREAD, DROPPED = 10, 0.4
-#: Longs of a set's parities.
-WORDS = 8
+#: Longs of a set's parities, and least hashes of a set, in as many orders.
+WORDS, LEAST = 8, 4
 
 
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -278,8 +277,34 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
+def least(own: np.ndarray) -> np.ndarray:
+    """The least hash of a set in LEAST orders; two sets agree in each with the chance of their similarity."""
+    if not len(own):
+        return own
+    return np.array([(own * np.uint64(xxhash.xxh64_intdigest(b"order%d" % i, SEED) | 1)).min() for i in range(LEAST)], np.uint64)
+
+
+def can_be_alike(similarity: float) -> Column:
+    """Whether the sizes and parities of two sets, in columns ``a_...`` and ``b_...``, allow that similarity."""
+    odd = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _PARITIES), F.lit(0))
+    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
+    return sizes & (odd <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-6)
+
+
+def to_the_first(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` (ids, a < b): each node with the first of those that share its fingerprint, or a least hash in one order, if
+    sizes and parities allow that similarity.  At most 1 + LEAST pairs a node, which join most of a dense group."""
+    own = ["id", "size", *_PARITIES]
+    keys = F.concat(F.array(F.struct(F.lit(-1).alias("order"), F.col("fp").alias("key"))), F.transform("least", lambda x, i: F.struct(i.alias("order"), x.alias("key"))))
+    each = nodes.select(*own, F.explode(keys).alias("k")).select(*own, "k.*")
+    first = each.groupBy("order", "key").agg(F.min(F.struct(*own)).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("order", "key", *[F.col(f"f.{c}").alias("a" if c == "id" else f"a_{c}") for c in own])
+    each = each.select("order", "key", *[F.col(c).alias("b" if c == "id" else f"b_{c}") for c in own])
+    return each.join(first, ["order", "key"]).where((F.col("a") < F.col("b")) & can_be_alike(similarity)).select("a", "b").distinct()
+
+
 _PARITIES = [f"parity{i}" for i in range(WORDS)]
-_SKETCH = "doc_id long, fp long, sig long, size long, prefix array<long>, " + ", ".join(f"{x} long" for x in _PARITIES)
+_SKETCH = "doc_id long, fp long, sig long, size long, prefix array<long>, least array<long>, " + ", ".join(f"{x} long" for x in _PARITIES)
 
 
 def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
@@ -287,10 +312,8 @@ def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
     last = late[rank]
 
     def run(batches):
-        import xxhash
-
         for part in slices(batches):
-            fp, sig, size, first, odd = [], [], [], [], []
+            fp, sig, size, first, low, odd = [], [], [], [], [], []
             for t in part.column("text").to_pylist():
                 hashes = word_hashes(t)
                 own = np.unique(shingles(hashes, words))
@@ -298,10 +321,11 @@ def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
                 sig.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
                 size.append(len(own))
                 first.append(prefix(own, last, rank, similarity).view(np.int64))
+                low.append(least(own).view(np.int64))
                 odd.append(parities(own))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (fp, sig, size)), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T.copy())],
-                names=["doc_id", "fp", "sig", "size", "prefix", *_PARITIES],
+                [part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (fp, sig, size)), pa.array(first, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64())), *map(pa.array, np.array(odd).T.copy())],
+                names=["doc_id", "fp", "sig", "size", "prefix", "least", *_PARITIES],
             )
 
     return run
@@ -357,21 +381,24 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     """
     prints = store.keep(docs.select("doc_id", "text").mapInArrow(_sketches(shingle, words, similarity, frequent(docs, words)), _SKETCH), "sketches")
     same = [F.min(c).alias(c) for c in ("fp", *_PARITIES)]
-    nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), *same, F.first("prefix").alias("prefix")), "sets")
+    nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), *same, F.first("prefix").alias("prefix"), F.first("least").alias("least")), "sets")
     known = nodes.where("id IS NOT NULL")
     n, both = bit_counts(known)
     groups = known.select("id", F.col("id").alias("class"))
-    edges, done = None, -1
+    done = -1
+    facts = known.select("id", "size", *_PARITIES)
     for level, tau in enumerate((0, *LEVELS, BITS) if n else ()):
         now = known.join(groups, "id")
         if tau == BITS:
             pairs = meetings(store, now, similarity, done)
-        elif not tau:  # equal fingerprints: each against the first
-            first = known.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
-            pairs = known.join(store.keep(first, "first"), "fp").where("a < id").select("a", F.col("id").alias("b"))
+        elif not tau:
+            pairs = to_the_first(known, similarity)
         else:
             # Nearer pairs of two groups have been verified before, and failed.
-            pairs = links(now, plan_parts(n, both, tau), tau, similarity, done)
+            pairs = store.keep(links(now, plan_parts(n, both, tau), tau, similarity, done), f"linked{level}")
+            for side in "ab":
+                pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts.columns]), side)
+            pairs = pairs.where(can_be_alike(similarity)).select("a", "b")
             done = tau
         pairs = store.keep(pairs, f"pairs{level}")
         ends = store.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ends{level}")
@@ -380,11 +407,13 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
         held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         held = held.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        held = store.keep(held, f"held{level}")
-        store.drop(f"pairs{level}", f"ends{level}", f"shingles{level}")
-        edges = held if edges is None else edges.unionByName(held)
-        roots = components(store, edges, f"cc{level}_")
-        groups = known.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("class"))
+        # Links of the same two groups are one.
+        for end in "uv":
+            held = held.join(groups.select(F.col("id").alias(end), F.col("class").alias(f"{end}_class")), end)
+        held = store.keep(held.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")).distinct(), f"held{level}")
+        store.drop(f"linked{level}", f"pairs{level}", f"ends{level}", f"shingles{level}")
+        roots = components(store, held, f"cc{level}_")
+        groups = groups.join(roots, F.col("class") == F.col("node"), "left").select("id", F.coalesce("root", "class").alias("class"))
         groups = store.keep(groups, f"groups{level}")
     final = nodes.join(groups, "id", "left").select("sig", "size", F.col("class").alias("root"))
     return store.done(prints.join(final, ["sig", "size"]).select("doc_id", "root"), "near_groups")

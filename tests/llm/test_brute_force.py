@@ -431,6 +431,38 @@ def test_no_near_copy_stays(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root.values()))
 
 
+def test_a_dense_group_costs_links_not_pairs(spark, monkeypatch):
+    """Of n texts that are all alike, some n links are staged, and all of them but one go."""
+    staged, keep = {}, Store.keep
+
+    def counted(self, df, label, *more):
+        out = keep(self, df, label, *more)
+        staged[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Store, "keep", counted)
+    rng, n = random.Random(8), 150
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(400)] = f"x{i}"
+        texts.append((i, " ".join(words)))
+    kept = simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
+    assert sum(c for k, c in staged.items() if k.startswith(("pairs", "held"))) < (2 + 2 * simhash.LEAST) * n
+
+
+def test_least_hashes_agree_with_the_chance_of_similarity():
+    rng = np.random.default_rng(4)
+    same = 0
+    for _ in range(500):
+        x = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        same += (simhash.least(x[:100]) == simhash.least(x[10:])).sum()  # 90 of 120 in both
+    assert abs(same / (500 * simhash.LEAST) - 0.75) < 0.05 and not len(simhash.least(x[:0]))
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
     rng = random.Random(8)
