@@ -38,7 +38,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokens = sentencepiece_codec.tokenize(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # Staged, since only a staged table is written with small Arrow batches; else a whole partition may come in one.
+    return Store(spark, "encode").done(tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
 
 
 STAGES = [

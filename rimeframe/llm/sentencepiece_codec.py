@@ -18,6 +18,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,10 @@ from ._arrow import slices
 
 MARK = "▁"
 REMEMBERED = 250_000
+#: Text is taken in runs of so many bytes: the lists and strings of a run take some 50 times that.
+SLICE = 256 << 10
+#: Type code of 32-bit integers in Python's arrays.
+INT32 = "i"
 SHORT = 24
 NEVER = float("inf")
 
@@ -55,8 +61,8 @@ class Codec:
         merging = "".join(re.escape(c) for c in sorted({c for p in self.ids if len(p) > 1 for c in p} - {MARK}))
         self.unit = re.compile(f"{MARK}+[{merging}]*|[{merging}]+|[^{merging}{MARK}]")
         #: Two generations: when the younger is full the elder goes, and what is met again moves up.
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.elder: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         #: Units that the agenda and the library split differently.
         self.odd: set[str] = set()
 
@@ -140,11 +146,16 @@ class Codec:
                 wrong += 1
                 self.odd.add(unit)
                 own = tuple(ids)
-            self.seen[unit] = own
+            self.seen[unit] = array(INT32, own).tobytes()
         return wrong
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], int]:
         """The ids of each text, and how many of its units differ from the library's, now or when they were first met."""
+        packed, wrong = self.packed(texts)
+        return [array(INT32, x).tolist() for x in packed], wrong
+
+    def packed(self, texts: list[str]) -> tuple[list[bytes], int]:
+        """As ``encode``, the ids of a text as 32-bit integers one behind the other."""
         if len(self.seen) > REMEMBERED:
             self.elder, self.seen = self.seen, {}
         seen, elder = self.seen, self.elder
@@ -160,7 +171,7 @@ class Codec:
         if new:
             self.learn(new)
         wrong = len(self.odd & met) if self.odd else 0
-        return [[i for ids in map(seen.__getitem__, units) for i in ids] for units in split], wrong
+        return [b"".join(map(seen.__getitem__, units)) for units in split], wrong
 
     def decode(self, ids: list[int]) -> str:
         surface = self.surface
@@ -191,6 +202,12 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    ends = list(accumulate((len(x) // 4 for x in packed), initial=0))
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids, decoded, checked`` for every row of ``docs`` (doc_id, text).
 
@@ -201,14 +218,16 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         own = codec(model)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids, wrong = own.encode(texts)
+            ids, wrong = own.packed(texts)
             truth = own.library.encode(texts, num_threads=1)
+            decoded = [own.decode(x) for x in truth]  # what is returned has the library's ids, by the agenda or else by it
+            truth = [array(INT32, x).tobytes() for x in truth]
             agreed = [not wrong and a == b for a, b in zip(ids, truth)]
             ids = [a if a == b else b for a, b in zip(ids, truth)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string()), pa.array(agreed, pa.bool_())],
+                [part.column("doc_id").cast(pa.int64()), _lists(ids), pa.array(decoded, pa.string()), pa.array(agreed, pa.bool_())],
                 names=["doc_id", "ids", "decoded", "checked"],
             )
 
