@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import slices
 from ._shingles import shingles, word_hashes
-from ._store import Store, without_ids
+from ._store import Store, with_ids, without_ids
 from .components import components
 
 BITS = 64
@@ -384,6 +384,7 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     nodes = store.keep(prints.groupBy("sig", "size").agg(F.min("doc_id").alias("id"), *same, F.first("prefix").alias("prefix"), F.first("least").alias("least")), "sets")
     known = nodes.where("id IS NOT NULL")
     n, both = bit_counts(known)
+    repeated = not prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     groups = known.select("id", F.col("id").alias("class"))
     done = -1
     facts = known.select("id", "size", *_PARITIES)
@@ -402,8 +403,8 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
             done = tau
         pairs = store.keep(pairs, f"pairs{level}")
         ends = store.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"ends{level}")
-        sets = docs.select("doc_id", "text").join(ends, "doc_id").mapInArrow(_sets(words), "id long, shingles array<long>").dropDuplicates(["id"])
-        sets = store.keep(sets, f"shingles{level}")
+        sets = with_ids(docs.select("doc_id", "text"), ends).mapInArrow(_sets(words), "id long, shingles array<long>")
+        sets = store.keep(sets.dropDuplicates(["id"]) if repeated else sets, f"shingles{level}")
         held = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         held = held.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -1,4 +1,4 @@
-"""What tokenizing holds at a time."""
+"""What is held at a time, and what is sent."""
 
 import random
 import tracemalloc
@@ -8,6 +8,8 @@ import public_tokenizers
 import pyarrow as pa
 
 import corpus_pipeline
+from rimeframe.llm import simhash
+from rimeframe.llm._store import Store
 from rimeframe.llm.sentencepiece_codec import tokenize
 
 
@@ -38,3 +40,29 @@ def test_the_pipeline_encodes_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.sentencepiece_codec, "tokenize", lambda docs, path: docs.select("doc_id").mapInArrow(sizes, "doc_id long, ids array<int>"))
     rows = corpus_pipeline.encode(spark, spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text"), "").collect()
     assert len(rows) == 3000 and max(r.ids[0] for r in rows) <= 1000
+
+
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_copies_shuffle_no_text(spark):
+    """Few words, but long ones: two of 300 texts are alike, and no text is dealt out to find the two, however many ids there are."""
+    rng = random.Random(2)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(60)] for _ in range(299)]
+    texts = [" ".join(w) for w in [*words, [*words[0][:-1], "changed"]]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        roots = {r.doc_id: r.root for r in simhash.near_groups(docs, Store(spark, "near")).collect()}
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert roots == {i: i for i in range(299)} | {299: 0}
+    assert 0 < sent < sum(map(len, texts)) / 2
