@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import tracking as K
+from ..sources.rasters import scratch
 from .roles import r6, sql6, table
 
 QUERIES: dict = {}
@@ -213,14 +212,24 @@ def scan_image_read(spark, sf):
 
 
 def _streamed(spark, sf, made, mode: str):
-    """A query over the events as a stream, run to its end over all files, as a table."""
-    name = f"s{uuid.uuid4().hex}"
+    """A query over the events as a stream, run to its end over all files, as a table.
+
+    Results are written by the executors: of each batch in append mode, of the last one, which holds all, in complete mode."""
+    path = scratch(spark, "streamed")
     # A file source wants a folder or a pattern; the table may be either a file or a folder.
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
-    run = made(source).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out = made(source)
+    done = []
+
+    def keep(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(number)
+
+    run = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    batches = [f"{path}/{n}" for n in done]
+    return spark.read.schema(out.schema).parquet(*(batches[-1:] if mode == "complete" else batches)) if batches else spark.createDataFrame([], out.schema)
 
 
 @query(
