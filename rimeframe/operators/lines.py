@@ -6,9 +6,15 @@ unit of work, as they are of the result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..functions import geometry as G
 
 
@@ -76,8 +82,48 @@ def scale_between(w: Column, h: Column, new_w: Column, new_h: Column) -> Column:
     return F.when(low < high, (low + high) / 2.0)
 
 
-def mask_runs(rows: DataFrame, keys: list[str], order: list[str], mask: str) -> DataFrame:
-    """Rows with the number of the run of equal mask values they are in, from 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    change = F.when(F.col(mask).eqNullSafe(F.lag(mask).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return rows.withColumn("_change", change).withColumn("run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_change")
+def nearest_vertex(points: DataFrame, ident: str, lines: DataFrame, key: str) -> DataFrame:
+    """Distance ``d`` of each point (ident, u, v) to the nearest vertex of each line: ident, key, d.
+
+    Lines (key, x, y) are a dimension, such as one a camera, and are held whole; points meet them in Arrow batches, so that no
+    row is made of a point and a vertex."""
+    own = lines.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y").toPandas()
+    held = [(k, g["x"].to_numpy(float), g["y"].to_numpy(float)) for k, g in own.groupby(key, sort=True)]
+    schema = T.StructType([points.schema[ident], lines.schema[key], T.StructField("d", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            u, v = pdf["u"].to_numpy(float), pdf["v"].to_numpy(float)
+            for k, x, y in held:
+                d = np.empty(len(u))
+                step = max(1, (1 << 18) // len(x))
+                for at in range(0, len(u), step):
+                    dx, dy = u[at : at + step, None] - x, v[at : at + step, None] - y
+                    d[at : at + step] = np.sqrt((dx * dx + dy * dy).min(axis=1))
+                yield pd.DataFrame({ident: pdf[ident], key: k, "d": d})
+
+    return points.select(ident, "u", "v").mapInPandas(run, schema)
+
+
+def mask_runs(rows: DataFrame, keys: list[str], order: list[str], mask: str, bucket: Column | None = None) -> DataFrame:
+    """Rows with the number of the run of equal mask values they are in, from 0.
+
+    ``bucket`` grows with the order; with it windows run inside buckets, and over one row a bucket, which says where the
+    bucket's first run goes on with the last one before it."""
+    marked = rows.withColumn("_b", F.lit(0) if bucket is None else bucket)
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    change = F.when(F.col(mask).eqNullSafe(F.lag(mask).over(w)) | (F.row_number().over(w) == 1), 0).otherwise(1)
+    inside = marked.withColumn("_change", change).withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket is None:
+        return inside.withColumn("run", F.col("_run")).drop("_b", "_change", "_run")
+    value = F.struct(F.struct(*order).alias("o"), F.col(mask).alias("m"))
+    ends = inside.groupBy(*keys, "_b").agg(F.sum("_change").alias("_n"), F.min_by(value, value["o"])["m"].alias("_first"), F.max_by(value, value["o"])["m"].alias("_last"))
+    over = Window.partitionBy(*keys).orderBy("_b")
+    anew = F.when(F.col("_first").eqNullSafe(F.lag("_last").over(over)) | (F.row_number().over(over) == 1), 0).otherwise(1)
+    ends = ends.withColumn("_anew", anew)
+    before = F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_anew").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    starts = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), before.alias("_start"))
+    same = F.col("_b").eqNullSafe(F.col("_bb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return inside.join(starts, same).withColumn("run", F.col("_start") + F.col("_run")).drop("_b", "_bb", "_change", "_run", "_start", *[f"_{k}" for k in keys])

@@ -311,7 +311,7 @@ def scale_from_size(spark, sf):
 def split_by_mask(spark, sf):
     """Runs of consecutive orders of over 60 items, for each return flag."""
     totals = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_orderkey").agg((F.sum("l_quantity") > 60).alias("big"))
-    out = L.mask_runs(totals, ["l_returnflag"], ["l_orderkey"], "big").where("big")
+    out = L.mask_runs(totals, ["l_returnflag"], ["l_orderkey"], "big", F.floor(F.col("l_orderkey") / 65536)).where("big")
     return out.groupBy(F.col("l_returnflag").alias("flag"), "run").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_ok"), F.max("l_orderkey").alias("last_ok"))
 
 
