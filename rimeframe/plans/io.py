@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import exif as E
 from ..sources import reports as P
 from ..sources import svg as S
-from .roles import r6, sql6, table, cameras
+from .roles import r6, spread, sql6, table, cameras
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,7 +30,8 @@ def _files(spark, sf, template: str, name: str = "p_partkey"):
     pieces = [F.lit(parts[0])]
     for mark, text in zip(order, parts[1:]):
         pieces += [F.col("p_retailprice" if mark[0] == "a" else "p_size").cast("string"), F.lit(text)]
-    return table(spark, sf, "part").select(F.col(name).cast("string").alias("path"), F.concat(*pieces).alias("content"))
+    rows = spread(table(spark, sf, "part").select(name, "p_retailprice", "p_size"), name, "p_retailprice", "p_size")
+    return rows.select(F.col(name).cast("string").alias("path"), F.concat(*pieces).alias("content"))
 
 
 def _key(column: str = "path"):
@@ -141,7 +142,7 @@ def _made(spark, sf):
             ]
             yield pd.DataFrame({"path": pdf["path"], "content": blocks})
 
-    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_size", "p_retailprice")
+    rows = spread(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_size", "p_retailprice"), "path")
     return rows.mapInPandas(run, "path string, content binary")
 
 

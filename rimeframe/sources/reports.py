@@ -1,11 +1,16 @@
 """Calibration reports and camera files of other programs, as DataFrames of one row a file.
 
 Files are read whole (``text`` with ``wholetext``); values come out by XPath and regular expressions, so parsing stays in the
-JVM and a folder of a million reports is read like any other table.
+JVM and a folder of a million reports is read like any other table.  XML with many terms is parsed once a file, by expat in
+Arrow batches, since each XPath parses it anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +27,47 @@ def number(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern + f"({_NUMBER})", 1), F.lit("")).cast("double")
 
 
+def _terms(text: str, root: str) -> dict[str, str]:
+    """Texts of the elements right below the root, the first of each name; none if the root has another name."""
+    out: dict[str, str] = {}
+    path: list[str] = []
+
+    def start(name: str, _: dict) -> None:
+        path.append(name)
+        if len(path) == 2 and path[0] == root and name not in out:
+            out[name] = ""
+            parts.clear()
+            open_.append(name)
+
+    def end(name: str) -> None:
+        if len(path) == 2 and open_:
+            out[open_.pop()] = "".join(parts)
+        path.pop()
+
+    parts: list[str] = []
+    open_: list[str] = []
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda data: parts.append(data) if open_ else None
+    parser.Parse(text, True)
+    return out
+
+
 def agisoft_xml(files: DataFrame) -> DataFrame:
-    """width, height, f, cx, cy, b1, b2, k1 .. k4, p1, p2 of calibration files; missing terms are 0."""
-    names = ["f", "cx", "cy", "b1", "b2", "k1", "k2", "k3", "k4", "p1", "p2"]
+    """width, height, f, cx, cy, b1, b2, k1 .. k4, p1, p2 of calibration files; missing terms are 0.
+
+    A file is parsed once for all its terms; broken ones are an error."""
+    sizes, names = ["width", "height"], ["f", "cx", "cy", "b1", "b2", "k1", "k2", "k3", "k4", "p1", "p2"]
 
-    def value(name: str) -> Column:
-        return F.coalesce(F.nullif(F.xpath_string("content", F.lit(f"/calibration/{name}")), F.lit("")).cast("double"), F.lit(0.0))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [None if text is None else _terms(text, "calibration") for text in pdf["content"]]
+            yield pd.DataFrame({"path": pdf["path"]} | {n: [None if t is None else t.get(n, "") for t in found] for n in sizes + names})
 
-    return files.select("path", *[F.xpath_int("content", F.lit(f"/calibration/{n}")).alias(n) for n in ("width", "height")], *[value(n).alias(n) for n in names])
+    terms = files.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{n} string" for n in sizes + names))
+    whole = lambda n: F.when(F.col(n).isNotNull(), F.when(F.col(n).rlike(r"^\s*-?(\d+\.?\d*|\.\d+)\s*$"), F.col(n).cast("double").cast("int")).otherwise(0))
+    value = lambda n: F.coalesce(F.nullif(F.col(n), F.lit("")).cast("double"), F.lit(0.0))
+    return terms.select("path", *[whole(n).alias(n) for n in sizes], *[value(n).alias(n) for n in names])
 
 
 def opencv_xml(files: DataFrame) -> DataFrame:
@@ -85,7 +123,8 @@ def camera_json(json: Column) -> Column:
     c = F.from_json(json, CAMERA_JSON)
 
     def filled(name: str, n: int, default: float = 0.0) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(c[name], i), F.lit(default))).alias(name)
+        # Not a lambda: in one, the text would be parsed for every element.
+        return F.array(*[F.coalesce(F.get(c[name], F.lit(i)), F.lit(default)) for i in range(n)]).alias(name)
 
     return F.struct(filled("xyz", 3), filled("viewdir", 3), filled("imgsz", 2, 100.0), filled("f", 2, 1.0), filled("c", 2), filled("k", 6), filled("p", 2), c["sensorsz"].alias("sensorsz"), c["correction"].alias("correction"))
 
