@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import slices
 from ._shingles import shingles, word_hashes
-from ._store import Store, with_ids, without_ids
+from ._store import BROADCAST_IDS, Store, with_ids, without_ids
 from .components import components
 
 BITS = 64
@@ -331,6 +331,18 @@ def _sketches(shingle: int, words: int, similarity: float, late: np.ndarray):
     return run
 
 
+def with_classes(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``nodes`` (distinct ``id``) with the ``class`` that ``groups`` (``id, class``, staged) says.
+
+    Most nodes are a group of their own.  The others are counted; up to half of BROADCAST_IDS (16 MB) they are broadcast, and
+    no node moves with its sketches; beyond, both sides meet by id.
+    """
+    joined = groups.where("id <> class")
+    if joined.count() <= BROADCAST_IDS // 2:
+        joined = F.broadcast(joined)
+    return nodes.join(joined, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
 def meetings(store: Store, nodes: DataFrame, similarity: float, beyond: int) -> DataFrame:
     """``a, b`` (ids, a < b) of nodes of two classes: all that have at least that similarity and whose fingerprints differ in
     more than ``beyond`` bits, and some that are less alike.
@@ -389,14 +401,13 @@ def near_groups(docs: DataFrame, store: Store, shingle: int = 3, words: int = 5,
     done = -1
     facts = known.select("id", "size", *_PARITIES)
     for level, tau in enumerate((0, *LEVELS, BITS) if n else ()):
-        now = known.join(groups, "id")
         if tau == BITS:
-            pairs = meetings(store, now, similarity, done)
+            pairs = meetings(store, with_classes(known, groups), similarity, done)
         elif not tau:
             pairs = to_the_first(known, similarity)
         else:
             # Nearer pairs of two groups have been verified before, and failed.
-            pairs = store.keep(links(now, plan_parts(n, both, tau), tau, similarity, done), f"linked{level}")
+            pairs = store.keep(links(with_classes(known, groups), plan_parts(n, both, tau), tau, similarity, done), f"linked{level}")
             for side in "ab":
                 pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts.columns]), side)
             pairs = pairs.where(can_be_alike(similarity)).select("a", "b")

@@ -50,6 +50,30 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+def test_sketches_stay_where_they_are(spark, monkeypatch):
+    """Nodes get their classes without moving, with their prefixes, to those that are in a group."""
+    seen = []
+
+    def met(call):
+        return lambda *args: seen.append(next(x for x in args if hasattr(x, "columns"))) or call(*args)
+
+    monkeypatch.setattr(simhash, "links", met(simhash.links))
+    monkeypatch.setattr(simhash, "meetings", met(simhash.meetings))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=80)) for _ in range(40)]
+    texts += [f"{t} end" for t in texts[:5]]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        roots = {r.doc_id: r.root for r in simhash.near_groups(docs, Store(spark, "near")).collect()}
+        plans = [x._jdf.queryExecution().sparkPlan().toString() for x in seen]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert roots == {i: i % 40 for i in range(45)}
+    assert len(plans) == len(simhash.LEVELS) + 1 and not any("SortMergeJoin" in x or "ShuffledHashJoin" in x for x in plans)
+
+
 def test_near_copies_shuffle_no_text(spark):
     """Few words, but long ones: two of 300 texts are alike, and no text is dealt out to find the two, however many ids there are."""
     rng = random.Random(2)
