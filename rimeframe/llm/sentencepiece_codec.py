@@ -2,12 +2,12 @@
 
 Encoding keeps an agenda: a heap of adjacent symbol pairs whose concatenation is a piece, best score first, leftmost
 first among equals.  The top pair is merged and its new neighbours enter the agenda; pairs whose symbols have changed
-since are skipped.  Symbols that end as no piece become byte pieces.  Pieces never hold the space mark after another
+since are skipped.  The agendas of many short units are rows of a matrix, all of which lose their tops at the same time.  Symbols that end as no piece become byte pieces.  Pieces never hold the space mark after another
 character, so a text is cut in front of each run of marks and around characters that occur in no longer piece; units are
 encoded once and remembered in a table of bounded size.
 
-In each Arrow batch, all units not met before are also given to the sentencepiece library in one call, and so is every whole
-text.  ``checked`` says whether both agree; where a text's ids do not, the library's are returned.  Decoding maps ids to the bytes of their pieces, joins them and drops the added space.
+Every whole text is also given to the sentencepiece library.  ``checked`` says whether both agree; where a text's ids do not,
+the library's are returned.  Decoding maps ids to the bytes of their pieces, joins them and drops the added space.
 
 Edge cases: a null text is encoded as the empty text, which has no ids; repeated rows give repeated rows; any doc_id,
 null included, is passed through; other columns are not read; an empty table gives no rows.
@@ -21,6 +21,7 @@ import re
 from array import array
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SLICE = 256 << 10
 #: Type code of 32-bit integers in Python's arrays.
 INT32 = "i"
 SHORT = 24
+#: From so many units on their agendas are a matrix, of at most so many rows.
+MANY, ROWS = 256, 4096
 NEVER = float("inf")
 
 codecs.register_error("one-by-one", lambda e: ("�", e.start + 1))
@@ -63,8 +66,19 @@ class Codec:
         #: Two generations: when the younger is full the elder goes, and what is met again moves up.
         self.seen: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
-        #: Units that the agenda and the library split differently.
-        self.odd: set[str] = set()
+        self._number_pairs(size)
+
+    def _number_pairs(self, size: int) -> None:
+        """The symbol of each character that is a piece, and each pair of pieces that makes one, sorted, with what it makes and
+        the place of its rank among all ranks (equal ones share it).  Number ``size`` is no symbol, and the last pair none."""
+        ids, self.none = self.ids, size
+        single = {ord(p): i for p, i in ids.items() if len(p) == 1}
+        self.symbol = np.full(max(single, default=0) + 2, size, np.int32)
+        self.symbol[list(single)] = list(single.values())
+        splits = sorted((ids[p[:k]] * (size + 1) + ids[p[k:]], i, self.rank[p]) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
+        self.pairs = np.array([*(x[0] for x in splits), np.iinfo(np.int64).max], np.int64)
+        self.made = np.array([*(x[1] for x in splits), size], np.int32)
+        self.place = np.unique([*(x[2] for x in splits), NEVER], return_inverse=True)[1].astype(np.int32)
 
     def merge(self, unit: str) -> tuple[int, ...]:
         """The ids of one unit, by the agenda."""
@@ -127,51 +141,101 @@ class Codec:
                     heapq.heappush(agenda, (rank[new], h, i, new))
         return [s for s in symbols if s]
 
-    def learn(self, units: list[str]) -> int:
-        """Encode units by the agenda, check them against the library in one call, remember them; how many differed.
+    def merge_all(self, units: list[str]) -> list[bytes]:
+        """What ``merge`` gives for each unit, as 32-bit integers one behind the other."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        symbols = self.symbol[np.minimum(codes, len(self.symbol) - 1)]
+        starts = np.cumsum(lengths) - lengths
+        plain = (lengths <= SHORT) & (np.maximum.reduceat(symbols, starts) < self.none)
+        out = [b""] * len(units)
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = array(INT32, self.merge(units[i])).tobytes()
+        order = np.flatnonzero(plain)
+        order = order[np.argsort(lengths[order], kind="stable")]
+        for at in range(0, len(order), ROWS):
+            rows = order[at : at + ROWS]
+            left = self._merge_rows(symbols, starts[rows], lengths[rows])
+            ends = (4 * np.cumsum((left < self.none).sum(1))).tolist()
+            data = left[left < self.none].tobytes()
+            for i, start, end in zip(rows.tolist(), [0, *ends], ends):
+                out[i] = data[start:end]
+        return out
+
+    def _merge_rows(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A row for each unit, of what is left of its symbols; places without one hold ``none``, as the last column does."""
+        n, width = len(starts), int(lengths.max()) + 1
+        column = np.arange(width)
+        inside = column < lengths[:, None]
+        own = np.where(inside, symbols[np.where(inside, starts[:, None] + column, 0)], self.none).astype(np.int32).ravel()
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        before[::width] += width  # the first of a row stands behind its last column
+        pair = self._pair(own, np.append(own[1:], self.none))
+        agenda = self.place[pair]
+        never = self.place[-1]
+        live = np.arange(n)
+        while len(live):
+            i = agenda.reshape(n, width)[live].argmin(1) + live * width
+            go = agenda[i] < never
+            live, i = live[go], i[go]
+            j = after[i]
+            h, k = before[i], after[j]
+            own[i] = new = self.made[pair[i]]
+            own[j], agenda[j] = self.none, never
+            after[i], before[k] = k, i
+            pair[i] = x = self._pair(new, own[k])
+            agenda[i] = self.place[x]
+            pair[h] = x = self._pair(own[h], new)
+            agenda[h] = self.place[x]
+        return own.reshape(n, width)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where two symbols stand among the pairs; the last place if they make no piece."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, at, len(self.pairs) - 1)
+
+    def differing(self, units: list[str]) -> list[str]:
+        """The units that the agenda and the library split differently.
 
         The library puts a mark before each text.  A unit that starts with a mark gets it that way; any other is given
         behind a line feed, which no piece contains, and the ids of mark and line feed are cut off.
         """
         texts = [u[1:].replace(MARK, " ") if u[0] == MARK else "\n" + u for u in units]
         skip = len(self.library.encode("\n"))
-        wrong = 0
+        out = []
         for unit, text, ids in zip(units, texts, self.library.encode(texts, num_threads=1)):
-            own = self.merge(unit)
             if unit[0] != MARK:
                 ids = ids[skip:]
             elif not text:  # a lone mark: the library gives no ids for the empty text
                 ids = [self.ids[MARK]]
-            if own != tuple(ids):
-                wrong += 1
-                self.odd.add(unit)
-                own = tuple(ids)
-            self.seen[unit] = array(INT32, own).tobytes()
-        return wrong
+            if self.merge(unit) != tuple(ids):
+                out.append(unit)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], int]:
-        """The ids of each text, and how many of its units differ from the library's, now or when they were first met."""
-        packed, wrong = self.packed(texts)
-        return [array(INT32, x).tolist() for x in packed], wrong
+        """The ids of each text by the agenda, and how many units of the texts that the library splits otherwise differ."""
+        ids = [array(INT32, x).tolist() for x in self.packed(texts)]
+        other = [self.split(t) for t, own, truth in zip(texts, ids, self.library.encode(texts, num_threads=1)) if own != truth]
+        return ids, len(self.differing(list(set().union(*other))))
 
-    def packed(self, texts: list[str]) -> tuple[list[bytes], int]:
-        """As ``encode``, the ids of a text as 32-bit integers one behind the other."""
+    def split(self, text: str) -> list[str]:
+        return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text by the agenda, as 32-bit integers one behind the other."""
         if len(self.seen) > REMEMBERED:
             self.elder, self.seen = self.seen, {}
         seen, elder = self.seen, self.elder
-        split = [self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.split(t) for t in texts]
         new = []
-        met = set().union(*split)
-        for unit in met:
-            if unit not in seen:
-                if unit in elder:
-                    seen[unit] = elder[unit]
-                else:
-                    new.append(unit)
-        if new:
-            self.learn(new)
-        wrong = len(self.odd & met) if self.odd else 0
-        return [b"".join(map(seen.__getitem__, units)) for units in split], wrong
+        for unit in set().union(*split).difference(seen):
+            if unit in elder:
+                seen[unit] = elder[unit]
+            else:
+                new.append(unit)
+        seen.update(zip(new, self.merge_all(new) if len(new) >= MANY else [array(INT32, self.merge(u)).tobytes() for u in new]))
+        return [b"".join(map(seen.__getitem__, units)) for units in split]
 
     def decode(self, ids: list[int]) -> str:
         surface = self.surface
@@ -220,11 +284,11 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
         own = codec(model)
         for part in slices(batches, limit=SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids, wrong = own.packed(texts)
+            ids = own.packed(texts)
             truth = own.library.encode(texts, num_threads=1)
             decoded = [own.decode(x) for x in truth]  # what is returned has the library's ids, by the agenda or else by it
             truth = [array(INT32, x).tobytes() for x in truth]
-            agreed = [not wrong and a == b for a, b in zip(ids, truth)]
+            agreed = [a == b for a, b in zip(ids, truth)]
             ids = [a if a == b else b for a, b in zip(ids, truth)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), _lists(ids), pa.array(decoded, pa.string()), pa.array(agreed, pa.bool_())],

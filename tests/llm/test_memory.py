@@ -4,11 +4,12 @@ import random
 import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
 import corpus_pipeline
-from rimeframe.llm import simhash
+from rimeframe.llm import sentencepiece_codec, simhash
 from rimeframe.llm._store import Store
 from rimeframe.llm.sentencepiece_codec import tokenize
 
@@ -90,3 +91,21 @@ def test_near_copies_shuffle_no_text(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert roots == {i: i for i in range(299)} | {299: 0}
     assert 0 < sent < sum(map(len, texts)) / 2
+
+
+def test_the_library_reads_a_text_once(monkeypatch):
+    """Units are merged by the agenda alone, many at a time as well as one by one; the library gets the whole texts."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    read, real = [], codec.library
+    codec.library = SimpleNamespace(encode=lambda texts, **options: read.extend(texts) or real.encode(texts, **options))
+    monkeypatch.setattr(sentencepiece_codec, "codec", lambda model: codec)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("aeiou日▁é\ntnsr🙂<1", k=rng.randint(1, 30))) for _ in range(50)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    frame = SimpleNamespace(select=lambda *columns: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    rows = [r for out in tokenize(frame, public_tokenizers.path("piece_bpe_32k.model"))(iter([batch])) for r in out.to_pylist()]
+    assert read == texts and [r["ids"] for r in rows] == real.encode(texts) and all(r["checked"] for r in rows)
+    units = list(set().union(*map(codec.split, texts)))
+    assert len(units) > sentencepiece_codec.MANY
+    assert codec.merge_all(units) == [np.array(codec.merge(u), np.int32).tobytes() for u in units]
