@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import camera as C
 from ..operators import cameras as O
 from ..operators import undistort as U
-from .roles import CAM, PROJECTED, PTS, UVS, cameras, image_points, r6, sql6, table, world_points
+from .roles import CAM, PROJECTED, PTS, UVS, cameras, image_points, r6, rounded, sql6, table, world_points
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,12 +29,12 @@ def _projected(spark, sf):
 
 @query(f"WITH {PROJECTED} SELECT cam_id, ok, ln, {sql6('u', 4)} AS u, {sql6('v', 4)} AS v, {sql6('c')} AS depth FROM pix")
 def cam_project(spark, sf):
-    return _projected(spark, sf).select("cam_id", "ok", "ln", r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"), r6(F.col("depth")).alias("depth"))
+    return _projected(spark, sf).select("cam_id", "ok", "ln", rounded(F.col("u"), 4).alias("u"), rounded(F.col("v"), 4).alias("v"), rounded(F.col("depth"), 6).alias("depth"))
 
 
 @query(f"WITH {PROJECTED} SELECT cam_id, ok, ln, {sql6('u', 4)} AS u, {sql6('v', 4)} AS v FROM pix WHERE u BETWEEN 0 AND nx AND v BETWEEN 0 AND ny")
 def filter_inframe_infront(spark, sf):
-    return _projected(spark, sf).where(O.unpushed(F.col("in_frame"))).select("cam_id", "ok", "ln", r6(F.col("u"), 4).alias("u"), r6(F.col("v"), 4).alias("v"))
+    return _projected(spark, sf).where(O.unpushed(F.col("in_frame"))).select("cam_id", "ok", "ln", rounded(F.col("u"), 4).alias("u"), rounded(F.col("v"), 4).alias("v"))
 
 
 @query(

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +172,25 @@ def test_tracks_with_a_plugged_in_model_and_reduction(spark):
     good = [r for r in got if r.track == 1]
     assert len(good) == 3 and all(abs(r.x - 30) < 0.3 and len(r.cov) == 36 and r.reduced >= r.x and r.error is None for r in good)
     assert [r.error is not None for r in got if r.track == 2] == [True]
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Halves, what decimal digits show as halves, neighbours of halves, and values that are no numbers or too large."""
+    import duckdb
+
+    from rimeframe.plans.roles import rounded
+
+    values = [k / 2e4 for k in range(-3001, 3001)] + [math.nextafter(k / 2e4, s * 9) for k in range(-201, 201) for s in (-1, 1)]
+    values += [0.49999999999999994e-4, 1e11 + 0.00005, 5e15, -7e300, 1.5e308, -1.5e308, 5e-324, math.inf, -math.inf, math.nan, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = [r.y for r in rows.select("i", rounded(F.col("x"), 4).alias("y")).orderBy("i").collect()]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 4) + 0.0 FROM (SELECT unnest(range(len($1))) AS i, unnest($1::DOUBLE[]) AS x) ORDER BY i", [values]).fetchall()]
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["cam_project", "filter_inframe_infront"])
+def test_many_rows_are_not_rounded_by_decimal_digits(spark, name):
+    from rimeframe import plans
+
+    rows = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "round(" not in rows._jdf.queryExecution().executedPlan().toString()
